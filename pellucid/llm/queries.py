@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid.llm import binary, media, packing, topk
+from pellucid.llm import binary, langid, media, mixing, packing, simhash, topk
 from pellucid.llm.common import Scratch, table
 
 
@@ -15,10 +15,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+    return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, Scratch(spark))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark), ["doc_id", "source"])
+    return mixed.select("row.doc_id", "row.source", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -32,4 +47,4 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_ids(*binary.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, Scratch(spark)))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_exact_top_k, op8_media_columns, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_packing, op5_mixing, op6_exact_top_k, op8_media_columns, op10_token_ids)}
