@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid.llm import binary, langid, media, mixing, packing, simhash, topk
+from pellucid.llm import binary, chaining, langid, license, media, mixing, packing, simhash, topk, wordpiece
 from pellucid.llm.common import Scratch, table
 
 
@@ -25,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0, Scratch(spark))
 
@@ -38,13 +42,35 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.media_table(table(spark, sf_dir, "documents"), Scratch(spark))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_ids(*binary.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, Scratch(spark)))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_packing, op5_mixing, op6_exact_top_k, op8_media_columns, op10_token_ids)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_language_id,
+        op3_license_scan,
+        op4_packing,
+        op5_mixing,
+        op6_exact_top_k,
+        op7_token_counts,
+        op8_media_columns,
+        op9_substring_dedup,
+        op10_token_ids,
+    )
+}

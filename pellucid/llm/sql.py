@@ -1,6 +1,23 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
+from pellucid.llm.license import LEAST, SHINGLE, TEMPLATES
+
+
+def _license_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in TEMPLATES.items())
+    cut = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    grams = f"list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')))"
+    return f"""
+WITH t AS (SELECT template_id, unnest({grams}) AS g FROM (SELECT template_id, {cut("text")} AS w FROM (VALUES {values}) AS v(template_id, text))),
+n AS (SELECT template_id, count(*)::BIGINT AS total FROM t GROUP BY 1),
+d AS (SELECT DISTINCT doc_id, th, unnest({grams}) AS g FROM (SELECT doc_id, md5(text) AS th, {cut("text")} AS w FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT doc_id, th, template_id, count(*)::BIGINT AS matched FROM d JOIN t USING (g) GROUP BY 1, 2, 3)
+SELECT doc_id, template_id, matched, total, round(matched / total, 6) AS containment FROM m JOIN n USING (template_id) WHERE matched >= {LEAST} * total"""
+
+
 ORACLE = {
+    "op3_license_scan": _license_sql(),
     "op6_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
