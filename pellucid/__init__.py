@@ -1,0 +1 @@
+"""A Spark-first engine for image-forensics evaluation runs."""

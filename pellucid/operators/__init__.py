@@ -1,0 +1 @@
+"""Relational operators: manifests, results, profiles, messages, stages, telemetry, evaluation, image features."""

@@ -1,0 +1 @@
+"""Readers: manifests, result folders, images."""
