@@ -97,17 +97,22 @@ class Schedule:
                 return b * BLOCK + int(np.searchsorted(before, position, "right")) - 1
             b = min(max(b, lo), hi) if np.array_equal(self.sizes, self.weights) else (lo + hi) // 2
 
-    def pieces(self, q: int, position: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start, length, window, offset) of the pieces of n ids from a position of a queue."""
-        end, at, w = position + n, position, self.window_of(q, position)
-        while at < end:
-            before, offset = self.block(w // BLOCK)
-            i = w % BLOCK
-            stop = min(end, int(before[i + 1, q]))
-            if stop > at:
-                yield at - position, stop - at, w, int(offset[i, q]) + at - int(before[i, q])
-                at = stop
-            w += 1
+    def cut(self, q: int, position: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces of documents of one queue that begin at these positions and have n ids each: document, start,
+        length, window and offset."""
+        end = position + n
+        b0, b1 = self.window_of(q, int(position.min())) // BLOCK, self.window_of(q, int(end.max()) - 1) // BLOCK
+        parts = [self.block(b) for b in range(b0, b1 + 1)]
+        before = np.concatenate([*(p[0][:-1, q] for p in parts), parts[-1][0][-1:, q]])
+        offset = np.concatenate([p[1][:, q] for p in parts])
+        first, last = (np.searchsorted(before, x, "right") - 1 for x in (position, end - 1))
+        count = last - first + 1
+        doc = np.repeat(np.arange(len(n)), count)
+        w = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        start, stop = np.maximum(before[w], position[doc]), np.minimum(before[w + 1], end[doc])
+        keep = stop > start
+        doc, w, start, stop = doc[keep], w[keep], start[keep], stop[keep]
+        return doc, start - position[doc], stop - start, b0 * BLOCK + w, offset[w] + start - before[w]
 
 
 def _encode(vocabulary: str, end: int):
@@ -139,22 +144,21 @@ def _cut(sizes: list[int], weights: list[float], length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Schedule(np.array(sizes, np.int64), np.array(weights, np.float64), length)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
-
-        for batch in batches:
-            rows: list[tuple] = []
-            doc, queue, base, count = (batch.column(c).to_pylist() for c in ("doc_id", "queue", "position", "n"))
-            for i in range(len(doc)):
-                data = memoryview(batch.column("ids")[i].as_buffer())
-                for start, n, w, offset in plan.pieces(queue[i], base[i], count[i]):
-                    rows.append((doc[i], start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), count[i], w, offset))
-                if len(rows) >= 20_000:
-                    yield made(rows)
-                    rows = []
-            if rows:
-                yield made(rows)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                queue, position, n = (batch.column(c).to_numpy() for c in ("queue", "position", "n"))
+                ids = batch.column("ids")
+                wide = np.int64 if pa.types.is_large_binary(ids.type) else np.int32
+                begin = np.frombuffer(ids.buffers()[1], wide)[ids.offset : ids.offset + len(ids)].astype(np.int64)
+                data = memoryview(ids.buffers()[2])
+                for q in np.unique(queue):
+                    rows = np.flatnonzero(queue == q)
+                    doc, start, size, w, offset = plan.cut(int(q), position[rows], n[rows])
+                    doc = rows[doc]
+                    at = begin[doc] + 4 * start
+                    crc = [zlib.crc32(data[i:j]) for i, j in zip(at.tolist(), (at + 4 * size).tolist())]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, size, crc, n[doc], w, offset))], names=names)
 
     return run
 
