@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: Languages at most that are learned: the most frequent ones.
 MAX_LANGS = 256
+#: Training windows at most, over all languages: 16 MB on the driver.
+MAX_WINDOWS = 60_000
 UNKNOWN = "und"
 #: Windows that are multiplied at once.
 TILE = 32
@@ -77,8 +79,12 @@ def windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Model:
-    """Adam on the cross entropy; each pass shortens one window in four, as texts may be short."""
+def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 7, least_steps: int = 400) -> Model:
+    """Adam on the cross entropy; each pass shortens one window in four, as texts may be short.
+
+    Small samples take more passes, for least_steps batches in all.
+    """
+    epochs = max(epochs, -(-least_steps // -(-len(x) // batch)))
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, 0.5, (256, DIM))] + [rng.normal(0, (2 / (k * DIM)) ** 0.5, (k, DIM, FILTERS)) for k in WIDTHS] + [np.zeros(FILTERS) for _ in WIDTHS]
     p += [rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(langs))), np.zeros(len(langs))]
@@ -158,7 +164,7 @@ def train(docs: DataFrame, per_lang: int = 300, windows: int = 10) -> Model | No
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, per_lang / r["count"]))])
     part = F.pmod(h, F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40)
     sample = labelled.filter(F.col("lang").isin([r.lang for r in counts])).filter(part).select("text", "lang", h.alias("h"))
-    rows = sample.mapInArrow(_sampled(windows), "lang string, h long, data binary").orderBy("h", "lang", "data").limit(2 * per_lang * windows * len(counts)).collect()
+    rows = sample.mapInArrow(_sampled(windows), "lang string, h long, data binary").orderBy("h", "lang", "data").limit(min(MAX_WINDOWS, 2 * per_lang * windows * len(counts))).collect()
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})
