@@ -18,6 +18,8 @@ from array import array
 
 #: The pre-token pattern of byte-level vocabularies whose file names none. Fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Alternatives that start with a letter, digit or space compete with no contraction and may be tried first.
+FIRST = (r" ?\p{L}+", r"[\p{L}]+")
 #: The last code point of texts that are split here, and pre-tokens and characters that the cache may hold.
 LAST, CACHED, CACHED_LENGTH = 0x24F, 800_000, 48
 
@@ -60,23 +62,31 @@ def _bytes(ids: list[int]) -> bytes:
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # A pre-token is already normal and whole: it only has to be merged, in the byte alphabet of the vocabulary.
-        self.merger.normalizer, self.merger.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        # A pre-token is already normal and whole: only the model is left, which knows the vocabulary's byte alphabet.
+        self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec["pre_tokenizer"]
         pattern = next((p["pattern"]["Regex"] for p in pre.get("pretokenizers", []) if p["type"] == "Split"), BYTE_LEVEL)
+        for part in FIRST:
+            if f"|{part}|" in pattern:
+                pattern = f"{part}|" + pattern.replace(f"|{part}|", "|", 1)
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
         self.split = re.compile(_latin(pattern)).findall
-        special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
-        self.odd = re.compile(rf"[^\t\n\r -~\xa1-{chr(LAST)}]|{special}").search
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.strange = re.compile(rf"[^\t\n\r -~\xa1-{chr(LAST)}]").search
         self.cache: dict[str, bytes] = {}
 
+    def odd(self, text: str) -> bool:
+        """Whether a text is left to the library."""
+        return self.strange(text) is not None or any(x in text for x in self.special)
+
     def _merged(self, pieces: list[str]) -> list[bytes]:
-        return _packed(self.merger, [x.encode().decode("latin-1").translate(self.alphabet) for x in pieces])
+        merge, alphabet = self.model.tokenize, self.alphabet
+        return [_bytes([t.id for t in merge(x.encode().decode("latin-1").translate(alphabet))]) for x in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
