@@ -73,6 +73,11 @@ def delete_range(messages: Column, start: int, end: int | None = None) -> Column
     return F.when((lo >= 0) & (hi < n), cut).otherwise(F.raise_error(F.lit("message index out of range")))
 
 
+def replace_at(messages: Column, index: int, new: Column) -> Column:
+    """An array with one element replaced; negative indexes count from the end."""
+    return F.transform(messages, lambda x, i: F.when(i == (F.lit(index) if index >= 0 else F.size(messages) + index), new).otherwise(x))
+
+
 def recent(messages: Column, k: int = 5) -> Column:
     """The last k elements."""
     return F.slice(messages, F.greatest(F.size(messages) - k + 1, F.lit(1)), F.lit(k))

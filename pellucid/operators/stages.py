@@ -60,6 +60,18 @@ def route(stage: Column, has_response: Column, is_success: Column) -> Column:
     return F.when(stage == "MAX_ITERATIONS", "raise:max_iterations").when(stage == "DONE", done).when(stage == "ERROR", "raise:error").when(stage == "FORENSIC_REPORT_FORMULATION", "reporter").otherwise("agent")
 
 
+def graph(walked: DataFrame, has_response: Column, is_success: Column) -> DataFrame:
+    """How each walked conversation's graph ends: at the first check that leads to the end or to an error, else open.
+
+    Returns conv_id, checks (made until then) and outcome.
+    """
+    nodes = F.transform("trail", lambda s: route(s, has_response, is_success))
+    final = F.transform(nodes, lambda n: (n == "end") | F.startswith(n, F.lit("raise:")))
+    at = F.array_position(final, True)
+    rows = walked.withColumn("_nodes", nodes).withColumn("_at", at)
+    return rows.select("conv_id", F.when(F.col("_at") > 0, F.col("_at")).otherwise(F.size("trail").cast("long")).alias("checks"), F.when(F.col("_at") > 0, F.get("_nodes", (F.col("_at") - 1).cast("int"))).otherwise("open").alias("outcome"))
+
+
 def after_report(is_success: Column) -> Column:
     """The messages that a report adds."""
     failed = F.array(F.lit("tool:report_conflict_tool"), F.lit("ai:update stage to: forensic_report_formulation"))

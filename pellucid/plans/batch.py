@@ -244,6 +244,28 @@ def cache_miss(spark: SparkSession, sf: str) -> DataFrame:
     return hits.unionByName(misses.select("id", F.lit(True).alias("generated"), F.concat(F.lit("generated "), F.col("id").cast("string")).alias("profile")))
 
 
+@query(f"WITH {MANIFEST} SELECT image_path, dataset_name AS observations, gt_label AS pred_label FROM manifest")
+def profile_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles kept as JSON text, as columns; text that is no object gives nothing."""
+    doc = F.to_json(F.struct(F.col("dataset_name").alias("observations"), F.lit("").alias("detected_anomalies"), F.col("gt_label").alias("pred_label")))
+    m = manifest(spark, sf)
+    rows = m.select("image_path", doc.alias("doc")).unionByName(m.select("image_path", F.lit("[]").alias("doc")))
+    p = rows.filter(F.startswith(F.schema_of_variant(F.parse_json("doc")), F.lit("OBJECT"))).select("image_path", F.from_json("doc", "observations string, pred_label int").alias("p"))
+    return p.select("image_path", "p.*")
+
+
+@query(f"WITH {MANIFEST} SELECT image_path, sha256(image_path || ':0') AS session_key FROM manifest")
+def session_key(spark: SparkSession, sf: str) -> DataFrame:
+    """A key of an image and a workflow that is the same in every process."""
+    return manifest(spark, sf).select("image_path", F.sha2(F.concat("image_path", F.lit(":0")), 256).alias("session_key"))
+
+
+@query(f"WITH {MANIFEST} SELECT result_id FROM (SELECT md5(image_path) || '.json' AS result_id FROM manifest) ORDER BY 1")
+def sorted_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Result files by name."""
+    return manifest(spark, sf).select(paths.result_id(F.col("image_path")).alias("result_id")).orderBy("result_id")
+
+
 @query(f"WITH {MANIFEST} SELECT doc_id FROM manifest WHERE doc_id % 3 <> 0")
 def valid_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles with all their keys; every third lacks one, values may be null."""

@@ -88,6 +88,15 @@ def stage_route(spark: SparkSession, sf: str) -> DataFrame:
     return _replies(spark, sf).filter("stage is not null").select("conv_id", "seq", stages.route(F.col("stage"), i != 0, i != 1).alias("node"))
 
 
+@query(f"""WITH {MESSAGES}, {_FOUND}, {_STEP}, n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS i, {_ROUTE} AS node FROM trail),
+f AS (SELECT conv_id, count(*) AS total, min(i) FILTER (node = 'end' OR node LIKE 'raise:%') AS ended, arg_min(node, i) FILTER (node = 'end' OR node LIKE 'raise:%') AS node FROM n GROUP BY 1)
+SELECT conv_id, COALESCE(ended, total) AS checks, COALESCE(node, 'open') AS outcome FROM f""")
+def graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each conversation's graph ends."""
+    i = F.col("conv_id") % 3
+    return stages.graph(_walked(spark, sf), i != 0, i != 1)
+
+
 @query("SELECT DISTINCT conv_id, CASE conv_id % 3 WHEN 0 THEN 'ai:update stage to: done' ELSE 'tool:report_conflict_tool|ai:update stage to: forensic_report_formulation' END AS added FROM conversations")
 def reporter_append(spark: SparkSession, sf: str) -> DataFrame:
     success = F.when(F.col("conv_id") % 3 == 0, True).when(F.col("conv_id") % 3 == 1, False)
@@ -245,6 +254,12 @@ def history_delete(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).filter(F.size("t") >= 2).select("conv_id", F.array_join(msg.delete_range(F.col("t"), -2), ",").alias("kept"))
 
 
+@query(f"SELECT conv_id, array_to_string(list_concat([-1], t[2:]), ',') AS changed FROM ({_TURNS})")
+def history_modify(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with their first message replaced."""
+    return _turns(spark, sf).select("conv_id", F.array_join(msg.replace_at(F.col("t"), 0, F.lit(-1).cast("long")), ",").alias("changed"))
+
+
 @query(f"SELECT conv_id, array_to_string(t[greatest(len(t) - 4, 1):], ',') AS recent FROM ({_TURNS})")
 def recent_k(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).select("conv_id", F.array_join(msg.recent(F.col("t")), ",").alias("recent"))

@@ -75,6 +75,17 @@ def test_reasoner(spark):
     assert sorted(r.pred_label for r in reasoner.profiles(df).collect()) == [0, 1]
 
 
+def test_plugins():
+    from pellucid.operators import plugins
+
+    tools = plugins.default_tools(lambda path: {"semantic_result": 1})
+    assert list(tools.enabled()) == ["semantic_context_extraction"] and tools.enabled({"semantic_context_extraction": False}) == {}
+    assert tools.items["semantic_context_extraction"].execute("a.png") == {"semantic_result": 1}
+    with pytest.raises(ValueError):
+        tools.register("semantic_context_extraction", None)
+    assert "fft" in plugins.default_features().enabled({"lbp": False})
+
+
 def test_config(tmp_path):
     c = config.Config({"a": {"b": 1}})
     c.set("a.c.d", 2)
