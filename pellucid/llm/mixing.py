@@ -29,6 +29,8 @@ WEIGHTS, CAP = (5, 2, 1), 3
 #: Words of a block, hash buckets of a source's axis, output shards (a power of two).
 BLOCK, BUCKETS, SHARDS = 512, 4096, 64
 EXACT = 64.0
+#: Bytes of the sources' shares that are broadcast at most.
+BROADCAST = 16 << 20
 
 
 def size(text: Column) -> Column:
@@ -140,10 +142,15 @@ def mix(docs: DataFrame, scratch: Scratch, keep: list[str], seed: int = 11, shar
     axis = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = targets(sums.groupBy("key").agg(F.sum("n").alias("source_size"))).withColumn("words", F.least(F.floor(F.col("target") + 0.5), CAP * F.col("source_size")))
     plan = scratch.save(plan.withColumn("blocks", F.ceil(F.col("words") / block)))
-    plan = plan.join(split_tree(plan.select("key", "blocks"), shards, seed), "key")
-    placed = scratch.save(sums.withColumn("base", F.coalesce(F.sum("n").over(axis), F.lit(0))).drop("n").join(plan.drop("blocks"), "key"))
+    plan = scratch.save(plan.drop("blocks").join(split_tree(plan.select("key", "blocks"), shards, seed), "key"))
+    placed = scratch.save(sums.withColumn("base", F.coalesce(F.sum("n").over(axis), F.lit(0))).drop("n"))
     inside = Window.partitionBy("key", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(placed, ["key", "bucket"])
+    rows = rows.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # A source has a row of about 8 * shards bytes. Many sources are joined to the buckets first, whose rows are spread evenly.
+    if plan.count() * shards * 8 <= BROADCAST:
+        rows = rows.join(placed, ["key", "bucket"]).join(F.broadcast(plan), "key")
+    else:
+        rows = rows.join(placed.join(plan, "key"), ["key", "bucket"])
     begin = F.col("base") + F.col("run")
 
     def of_pass(p: int) -> Column:
