@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import Scratch, row_salt
+from pellucid.llm.common import Scratch, row_salt, sliced
 from pellucid.llm.encoding import chunks, encoder
 
 #: Fixed values of the seekable format: magic numbers of the skippable frames and of the footer.
@@ -117,7 +117,7 @@ def _write(uri: str, vocabulary: str, end: int):
         part, enc, writer = TaskContext.get().partitionId(), encoder(vocabulary), None
         store, path = open_folder(uri)
         name, tokens = f"{part:06d}-{uuid.uuid4().hex}.ids.zst", 0
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             if ids and writer is None:
                 store.create_dir(path, recursive=True)

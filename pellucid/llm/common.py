@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +57,38 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_state: dict[object, Any] = {}
+
+
+def process_state(key: object, make: Callable[[], Any]) -> Any:
+    """A worker process's one large state, such as a vocabulary with its cache or a model.
+
+    Processes outlive tasks: a task that asks for another key, or calls release(), frees what an earlier job left.
+    """
+    if key not in _state:
+        release()
+        _state[key] = make()
+    return _state[key]
+
+
+def release() -> None:
+    """Frees the process's state, and gives its memory back to the system where that can be asked for."""
+    if _state:
+        _state.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+
+def sliced(batches: Iterable, rows: int = 500) -> Iterator:
+    """Record batches of fewer rows, so that fewer texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def row_salt():
     """A well-mixed long for each row of a scan; equal rows get different values."""
     return F.xxhash64(F.monotonically_increasing_id())

@@ -14,14 +14,17 @@ import re
 import sys
 import unicodedata
 from array import array
+from functools import cached_property
+
+from pellucid.llm.common import process_state
 
 
 #: The pre-token pattern of byte-level vocabularies whose file names none. Fixed value.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Alternatives that start with a letter, digit or space compete with no contraction and may be tried first.
 FIRST = (r" ?\p{L}+", r"[\p{L}]+")
-#: The last code point of texts that are split here, and pre-tokens and characters that the cache may hold.
-LAST, CACHED, CACHED_LENGTH = 0x24F, 800_000, 48
+#: The last code point of texts that are split here, and pre-tokens of a cache's generation at most, and characters of those.
+LAST, CACHED, CACHED_LENGTH = 0x24F, 350_000, 48
 
 
 def _latin(pattern: str) -> str:
@@ -64,9 +67,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
         # A pre-token is already normal and whole: only the model is left, which knows the vocabulary's byte alphabet.
-        self.model = self.tokenizer.model
+        self.path, self.model = path, Tokenizer.from_file(path).model
         self.alphabet = _byte_alphabet()
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec["pre_tokenizer"]
@@ -78,7 +80,16 @@ class Encoder:
         self.split = re.compile(_latin(pattern)).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.strange = re.compile(rf"[^\t\n\r -~\xa1-{chr(LAST)}]").search
-        self.cache: dict[str, bytes] = {}
+        # Two generations: when the young one is full it becomes the old one, from which entries in use come back.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):
+        """The library's whole tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def odd(self, text: str) -> bool:
         """Whether a text is left to the library."""
@@ -92,32 +103,28 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         odd = [i for i, t in enumerate(texts) if self.odd(t)]
         out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(odd, _packed(self.tokenizer, [texts[i] for i in odd])):
-            out[i] = ids
+        if odd:
+            for i, ids in zip(odd, _packed(self.tokenizer, [texts[i] for i in odd])):
+                out[i] = ids
         skip = set(odd)
         plain = [i for i in range(len(texts)) if i not in skip]
         pieces = [self.split(texts[i].lower() if self.lower else texts[i]) for i in plain]
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        found = [list(map(self.cache.get, p)) for p in pieces]
-        new = list({x for p, f in zip(pieces, found) if None in f for x, ids in zip(p, f) if ids is None})
-        self.cache.update(zip(new, self._merged(new)))
+        found = [list(map(self.young.get, p)) for p in pieces]
+        missed = {x for p, f in zip(pieces, found) if None in f for x, ids in zip(p, f) if ids is None}
+        got = {x: self.old[x] for x in missed if x in self.old}
+        new = list(missed.difference(got))
+        got.update(zip(new, self._merged(new)))
         for i, p, f in zip(plain, pieces, found):
-            out[i] = b"".join([self.cache[x] if ids is None else ids for x, ids in zip(p, f)] if None in f else f)
-        for x in new:
-            if len(x) > CACHED_LENGTH:
-                del self.cache[x]
+            out[i] = b"".join([got[x] if ids is None else ids for x, ids in zip(p, f)] if None in f else f)
+        if len(self.young) + len(got) > CACHED:
+            self.old, self.young = self.young, {}
+        self.young.update((x, ids) for x, ids in got.items() if len(x) <= CACHED_LENGTH)
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The process's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return process_state(("encoder", path), lambda: Encoder(path))
 
 
 def chunks(texts: list[str], chars: int = 1_000_000):

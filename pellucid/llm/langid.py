@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pellucid.llm.common import process_state
+
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: Languages at most that are learned: the most frequent ones.
 MAX_LANGS = 256
@@ -172,9 +174,6 @@ def train(docs: DataFrame, per_lang: int = 300, windows: int = 10) -> Model | No
     return fit(np.stack([np.frombuffer(r.data, np.uint8) for r in rows]), np.array([of[r.lang] for r in rows]), langs)
 
 
-_loaded: dict[bytes, tuple] = {}
-
-
 def predict(text: Column, model: Model | None) -> Column:
     """A struct of lang_pred and score."""
     if model is None:
@@ -182,11 +181,7 @@ def predict(text: Column, model: Model | None) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = model.out.tobytes()
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = model.tables()
-        tables = _loaded[key]
+        tables = process_state(("langid", model.out.tobytes()), model.tables)
         for texts in parts:
             names, scores = [], []
             held, held_rows, total = [], [], 0

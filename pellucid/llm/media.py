@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import Scratch
+from pellucid.llm.common import Scratch, sliced
 from pellucid.llm.encoding import chunks
 
 UNIT = 192
@@ -236,7 +236,7 @@ def feature(s: Stream) -> str:
 
 
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for lo, hi in chunks(texts, 4_000_000):
             raw = [t.encode() for t in texts[lo:hi]]

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import Scratch
+from pellucid.llm.common import Scratch, sliced
 from pellucid.llm.encoding import chunks, encoder
 
 #: Windows whose schedule is computed at once, and such blocks that a task keeps.
@@ -120,7 +120,7 @@ def _encode(vocabulary: str, end: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, total = TaskContext.get().partitionId(), encoder(vocabulary), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             texts, sources = batch.column("text").to_pylist(), batch.column("source").to_pylist()
             for lo, hi in chunks(texts):
                 data = [x + tail for x in enc.encode(texts[lo:hi])]

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pellucid.llm.common import process_state, sliced
+
 #: The end mark among a node's edges; bytes are 0 to 255.
 END = 256
 #: Words that a process remembers at most, and bytes of a word that it may remember.
@@ -107,15 +109,10 @@ def read_entries(path: str) -> list[tuple[int, ...]]:
     return out
 
 
-_automata: dict[str, tuple[Automaton, dict[bytes, int]]] = {}
-
-
 def _counted(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _automata:
-            _automata[path] = Automaton(read_entries(path)), {}
-        auto, known = _automata[path]
-        for batch in batches:
+        auto, known = process_state(("automaton", path), lambda: (Automaton(read_entries(path)), {}))
+        for batch in sliced(batches):
             words, pieces = [], []
             for text in batch.column("text").to_pylist():
                 w = (text or "").encode("utf-8", "surrogatepass").lower().split()
