@@ -210,3 +210,20 @@ def test_common(seed):
 def test_cut_words():
     assert chaining.cut_words(" a b\nc  d ", [(1, 2)]) == " a d "
     assert chaining.cut_words("a b c", [(0, 2), (1, 2)]) == ""
+
+
+def substituted(shared, share, seed):
+    r = random.Random(seed)
+    at = set(r.sample(range(5, len(shared) - 5), round(share * len(shared))))
+    return [f"changed{seed}x{i}" if i in at else w for i, w in enumerate(shared)]
+
+
+def test_fuzzy_passages_are_found(docs, scratch):
+    rows, near = [], set()
+    for i in range(120):
+        shared = words(60, 5000 + i)
+        changed = substituted(shared, 0.15, 5000 + i)
+        rows += [(2 * i, " ".join(words(30, 6000 + i) + shared)), (2 * i + 1, " ".join(words(30, 7000 + i) + changed))]
+        near.add((2 * i + 1, 2 * i))
+    got = {(r.doc_id, r.ref_doc_id) for r in chaining.passages(docs(rows), scratch).collect()}
+    assert got <= near and len(got) >= 0.98 * len(near)
