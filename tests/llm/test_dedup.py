@@ -227,3 +227,16 @@ def test_fuzzy_passages_are_found(docs, scratch):
         near.add((2 * i + 1, 2 * i))
     got = {(r.doc_id, r.ref_doc_id) for r in chaining.passages(docs(rows), scratch).collect()}
     assert got <= near and len(got) >= 0.98 * len(near)
+
+
+def test_passages_composed_of_earlier_lines_are_found(docs, scratch):
+    lines = [words(n, 8000 + n) for n in (30, 21, 12, 40, 6)]
+    both = sum(lines, [])
+    parts = [both[at : at + 30] for at in range(0, len(both), 20)]  # they overlap, so that every seed occurs earlier
+    rows = [(i, " ".join(words(20, 8100 + i) + part + words(20, 8200 + i))) for i, part in enumerate(parts)]
+    rows += [(10, " ".join(words(25, 8300) + both)), (11, " ".join(both + words(35, 8301))), (12, " ".join(words(7, 8302) + both[20:80]))]
+    rows += [(13, " ".join(lines[3] + lines[0] + words(9, 8303)))]  # no earlier document has these in this order
+    got = {(r.doc_id, r.ref_doc_id, r.start_word, r.n_words) for r in chaining.passages(docs(rows), scratch).collect()}
+    assert got == {(11, 10, 0, 109), (12, 10, 7, 60)}
+    out = {r.doc_id: r.text.split() for r in chaining.remove_repeats(docs(rows), scratch).collect()}
+    assert out[11] == words(35, 8301) and out[12] == words(7, 8302)
