@@ -170,18 +170,28 @@ def _next_sync(data: bytes, at: int, end: int) -> int:
     return end
 
 
+def _runs(data: bytes, at: int, end: int) -> bool:
+    """Whether whole frames run from here to the very end."""
+    while at < end and (h := header(data[at : at + 4])):
+        at += h.size
+    return at == end
+
+
 def parse(data: bytes) -> Stream:
     out, at, end = Stream(), 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at = _id3v2(data, at, out.tags)
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        _id3v1(data[end:], out.tags)
+    if tagged := end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+        end -= 128  # unless the bytes turn out to be a frame's
     first, lost = True, False
     while at < end:
         h = header(data[at : at + 4])
+        if tagged and h and at + h.size > end and _runs(data, at, end + 128):
+            end, tagged = end + 128, False
         if h is None or at + h.size > end or first and not lost and _next_sync(data, at, end) != at:
             found = _next_sync(data, at + (h is not None), end)
+            if tagged and found == end and (other := _next_sync(data, at + (h is not None), end + 128)) < end and _runs(data, other, end + 128):
+                found, end, tagged = other, end + 128, False
             out.skipped += found - at
             out.resyncs += found < end
             at, lost = found, True
@@ -196,6 +206,8 @@ def parse(data: bytes) -> Stream:
                 out.damaged += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
         first = False
         at += h.size
+    if tagged:
+        _id3v1(data[end:], out.tags)
     return out
 
 
@@ -260,7 +272,10 @@ def _load(seek_every: int):
                 data = data.as_py()
                 s = parse(data)
                 payload = unwrap(data, s)
-                rows.append((doc_id, int(s.tags["TXXX:payload"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s), float(s.duration), s.samples, len(s.offsets), s.offsets[::seek_every]))
+                length = int(s.tags["TXXX:payload"])
+                if len(payload) != max(1, -(-length // UNIT)) * UNIT:
+                    raise ValueError(f"the stream of document {doc_id} holds {len(payload)} bytes of a payload of {length}")
+                rows.append((doc_id, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s), float(s.duration), s.samples, len(s.offsets), s.offsets[::seek_every]))
             if rows:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in READ.split(", ")])

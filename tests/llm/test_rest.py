@@ -201,6 +201,21 @@ def test_large_components_stay_exact():
 # -- media
 
 
+def test_media_payload_that_looks_like_a_tag(docs, scratch):
+    texts = ["x" * (192 * n + 89) + "TAG" + "y" * 100 for n in (0, 1, 5)]
+    got = media.media_table(docs(list(enumerate(texts))), scratch).collect()
+    want = [(i, len(t), hashlib.sha256(media.padded(t.encode())).hexdigest()) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.n_bytes, r.payload_sha256) for r in got) == want
+    for t in texts:
+        data = media.wrap(media.padded(t.encode()), len(t))
+        title = b"TAG" + b"a title".ljust(125, b"\0")
+        for tail, tags in ((b"", 0), (title, 1), (media.HEAD + bytes(120) + title, 1)):
+            s = media.parse(data + tail)
+            assert media.unwrap(data, s) == media.padded(t.encode()) and ("title" in s.tags) == tags
+        s = media.parse(data[: -media.SIZE] + b"foreign" + data[-media.SIZE :])
+        assert media.unwrap(data[: -media.SIZE] + b"foreign" + data[-media.SIZE :], s) == media.padded(t.encode())
+
+
 def test_media_round_trip(docs, scratch):
     rows = [(i, text(r, i)) for i, r in enumerate((1, 30, 400))] + ODD
     got = media.media_table(docs(rows), scratch).collect()
