@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pellucid.llm.common import Scratch, row_salt, sliced
-from pellucid.llm.encoding import chunks, encoder
+from pellucid.llm.encoding import chunks, encoder, little_endian
 
 #: Fixed values of the seekable format: magic numbers of the skippable frames and of the footer.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -47,7 +47,7 @@ class FrameWriter:
         self.entries, self.docs = bytearray(), []
         self.frames = 0
 
-    def add(self, doc_id: int, data: bytes) -> None:
+    def add(self, doc_id: int, data: bytes | memoryview) -> None:
         self.docs.append((doc_id, self.frames))
         for at in range(0, max(1, len(data)), FRAME_BYTES):
             part = data[at : at + FRAME_BYTES]
@@ -111,21 +111,22 @@ def open_folder(uri: str):
 
 
 def _write(uri: str, vocabulary: str, end: int):
-    tail = struct.pack("<I", end)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, writer = TaskContext.get().partitionId(), encoder(vocabulary), None
         store, path = open_folder(uri)
         name, tokens = f"{part:06d}-{uuid.uuid4().hex}.ids.zst", 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, 2000):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             if ids and writer is None:
                 store.create_dir(path, recursive=True)
                 writer = FrameWriter(store.open_output_stream(f"{path}/{name}", compression=None))
             for lo, hi in chunks(texts):
-                for doc_id, data in zip(ids[lo:hi], enc.encode(texts[lo:hi])):
-                    writer.add(NO_ID if doc_id is None else doc_id, data + tail)
-                    tokens += len(data) // 4 + 1
+                flat, counts = enc.encode(texts[lo:hi], end)
+                data, at = memoryview(little_endian(flat)), 0
+                for doc_id, n in zip(ids[lo:hi], counts.tolist()):
+                    writer.add(NO_ID if doc_id is None else doc_id, data[4 * at : 4 * (at + n)])
+                    at += n
+                tokens += at
         if writer is not None:
             writer.close()
             writer.sink.close()

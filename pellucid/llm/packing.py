@@ -18,7 +18,6 @@ document may span any number of windows.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import Counter, OrderedDict
 from collections.abc import Iterable, Iterator
@@ -30,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pellucid.llm.common import Scratch, sliced
-from pellucid.llm.encoding import chunks, encoder
+from pellucid.llm.encoding import binary_column, chunks, encoder
 
-#: Windows whose schedule is computed at once, and such blocks that a task keeps.
-BLOCK, BLOCKS = 256, 64
-#: Sources at most; more are an error. The driver holds two numbers for each.
-MAX_SOURCES = 100_000
+#: Windows whose schedule is computed at once, and bytes of such blocks that a task keeps (one block at least).
+BLOCK, KEPT_BYTES = 256, 32 << 20
+#: Queues at most. If there are more sources, they share queues by hash, in each of which they follow one another.
+MAX_QUEUES = 1024
 
 
 def served(windows: np.ndarray, sizes: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
@@ -78,7 +77,7 @@ class Schedule:
             before = served(np.arange(b * BLOCK, (b + 1) * BLOCK + 1), self.sizes, self.weights, self.length)
             share = np.diff(before, axis=0)
             self.blocks[b] = before, np.cumsum(share, axis=1) - share
-            if len(self.blocks) > BLOCKS:
+            while len(self.blocks) > 1 and len(self.blocks) * 2 * before.nbytes > KEPT_BYTES:
                 self.blocks.popitem(last=False)
         self.blocks.move_to_end(b)
         return self.blocks[b]
@@ -116,25 +115,23 @@ class Schedule:
 
 
 def _encode(vocabulary: str, end: int):
-    tail = struct.pack("<I", end)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, total = TaskContext.get().partitionId(), encoder(vocabulary), Counter()
-        for batch in sliced(batches):
+        for batch in sliced(batches, 2000):
             texts, sources = batch.column("text").to_pylist(), batch.column("source").to_pylist()
             for lo, hi in chunks(texts):
-                data = [x + tail for x in enc.encode(texts[lo:hi])]
+                ids, counts = enc.encode(texts[lo:hi], end)
                 at = []
-                for s, x in zip(sources[lo:hi], data):
+                for s, n in zip(sources[lo:hi], counts.tolist()):
                     at.append(total[s])
-                    total[s] += len(x) // 4
+                    total[s] += n
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(lo, hi - lo),
                     "source": pa.array(sources[lo:hi], pa.string()),
-                    "part": pa.array([part] * len(data), pa.int32()),
+                    "part": pa.array(np.full(len(at), part, np.int32)),
                     "at": pa.array(at, pa.int64()),
-                    "n": pa.array([len(x) // 4 for x in data], pa.int64()),
-                    "ids": pa.array(data, pa.binary()),
+                    "n": pa.array(counts),
+                    "ids": binary_column(ids, counts),
                 })
 
     return run
@@ -170,19 +167,24 @@ def pack(docs: DataFrame, vocabulary: str, end: int, scratch: Scratch, length: i
     queues last to the end. Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Every sequence but the last is full.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
     ids = scratch.save(rows.mapInArrow(_encode(vocabulary, end), "doc_id long, source string, part int, at long, n long, ids binary"))
-    sums = ids.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = scratch.save(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [r.n for r in totals]
-    due = [float(r.n) if weights is None else float(weights.get(r.source, 0)) or 1e-9 for r in totals]
-    spark = docs.sparkSession
-    queues = spark.createDataFrame([(r.source, q) for q, r in enumerate(totals)], "source string, queue int")
-    bases = scratch.save(sums.join(queues, sums["source"].eqNullSafe(queues["source"])).select(F.col("part").alias("p"), sums["source"].alias("s"), "base", "queue"))
+    sums = scratch.save(ids.groupBy("part", "source").agg(F.sum("n").alias("n")))
+    many = sums.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
+    key = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string") if many else F.col("source")
+    before = Window.partitionBy("key").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    sums = scratch.save(sums.withColumn("key", key).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    if weights is not None:
+        given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], "name string, weight double")
+        share = sums.groupBy("key", "source").agg(F.sum("n").alias("n"))
+        share = share.join(given, share["source"].eqNullSafe(given["name"]), "left").select("key", "n", F.coalesce("weight", F.lit(0.0)).alias("due"))
+    else:
+        share = sums.select("key", "n", F.col("n").cast("double").alias("due"))
+    totals = share.groupBy("key").agg(F.sum("n").alias("n"), F.sum("due").alias("due")).orderBy(F.col("key").asc_nulls_last()).collect()  # MAX_QUEUES rows at most
+    sizes, due = [r.n for r in totals], [max(r.due, 1e-9) for r in totals]
+    queues = spark.createDataFrame([(r.key, q) for q, r in enumerate(totals)], "key string, queue int")
+    bases = scratch.save(sums.join(queues, sums["key"].eqNullSafe(queues["key"])).select(F.col("part").alias("p"), F.col("source").alias("s"), "base", "queue"))
     # bases has a row for each partition and source: Spark broadcasts it only below its size threshold.
     placed = ids.join(bases, (ids["part"] == bases["p"]) & ids["source"].eqNullSafe(bases["s"]))
     placed = placed.select("doc_id", "queue", (F.col("base") + F.col("at")).alias("position"), "n", "ids")

@@ -19,9 +19,24 @@ def test_encoder_gives_the_librarys_ids(name):
     e = Encoder(vocabulary(name))
     r = random.Random(1)
     mixed = ["".join(r.choice("ab 'sT.\n\té½0") for _ in range(60)) for _ in range(200)]
-    texts = STRANGE + mixed + [text(200, 1)]
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == want and e.encode(texts) == want
+    latin = [chr(c) for c in range(1, 0x250)] + [chr(c) for c in range(0x2000, 0x2100)]
+    every = [x for c in latin for x in (c, f"x{c}y", f" {c} b{c}", f"1{c}{c}'s")]
+    parts = [*"ab 'stT.\n\té½0Éß–’Σ", "'s", "'ll", "12", "  ", " \n "]
+    mixed += ["".join(r.choice(parts) for _ in range(r.randrange(1, 60))) for _ in range(3000)]
+    texts = STRANGE + every + mixed + [text(200, 1)]
+    want = [[*x.ids, 7] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for step in (1, 50, 50, len(texts)):
+        for lo in range(0, len(texts), step):
+            ids, counts = e.encode(texts[lo : lo + step], 7)
+            assert ids.tolist() == [i for x in want[lo : lo + step] for i in x] and counts.tolist() == [len(x) for x in want[lo : lo + step]]
+
+
+def test_a_full_table_is_emptied(monkeypatch):
+    monkeypatch.setattr("pellucid.llm.encoding.KEPT", 50)
+    e = Encoder(vocabulary("byte_bpe_50k.json"))
+    texts = [text(80, i) for i in range(40)]
+    want = [[*x.ids, 0] for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [e.encode([t], 0)[0].tolist() for t in texts] == want and e.table.entries < 1000
 
 
 def brute(rows, name, end):
@@ -148,3 +163,22 @@ def test_token_counts(docs):
         want.append((d is None, d or 0, len(w), sum(n[x] for x in w)))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_pieces) for r in got) == sorted(want)
     assert wordpiece.token_counts(docs([]), path).count() == 0
+
+
+def test_more_sources_than_queues(docs, scratch):
+    rows = [(i, text(3, i), None, f"host{i % 5000}", 0) for i in range(6000)]
+    got = packing.pack(docs([(*r[:2], "en", r[3], 1) for r in rows]), vocabulary("byte_bpe_50k.json"), 0, scratch).collect()
+    check_pieces(got, rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for q, pieces in by.items():
+        end = 0
+        for offset, n in sorted(pieces):
+            assert offset == end
+            end += n
+        assert end == 1024 or q == max(by)
+    plan = packing.Schedule(np.full(1024, 10**9), np.full(1024, 1.0), 1024)
+    for b in range(40):
+        plan.block(b)
+    assert sum(a.nbytes + o.nbytes for a, o in plan.blocks.values()) <= packing.KEPT_BYTES
