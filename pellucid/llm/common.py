@@ -57,6 +57,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans that nothing refers to, which it does as the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _state: dict[object, Any] = {}
 
 
