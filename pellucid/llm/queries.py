@@ -35,7 +35,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark), ["doc_id", "source"])
-    return mixed.select("row.doc_id", "row.source", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"), "row.source", mixing.shards_of(F.col("pieces")).alias("shards"))
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
