@@ -4,8 +4,9 @@ Texts are cut into windows of WINDOW bytes. Each window passes through filters o
 maximum over positions and a softmax; a document's score is the mean of its windows' probabilities, each
 weighted by its bytes. All windows of every text count.
 
-Fitting takes a bounded sample: at most ``per_lang`` labelled documents of each language by a hash of id
-and text, and at most ``windows`` windows of each, spread over the whole text.
+Fitting takes a bounded sample: about ``per_lang`` labelled documents of each language by a hash of id
+and text, and at most ``windows`` windows of each, spread over the whole text; of all languages ``most`` windows,
+shared out evenly (one of each at least). Every language that a document is labelled with is learned.
 
 Nulls, ties, repeats: a text that is null or has no letter is ``und`` with score 0, and so is every text if
 nothing was learned. A document without id is not held out and not learned from. Ties go to the
@@ -14,23 +15,18 @@ language that comes first. Repeated rows get equal results. An empty table gives
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pellucid.llm.common import process_state
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
-#: Languages at most that are learned: the most frequent ones.
-MAX_LANGS = 256
-#: Training windows at most, over all languages: 16 MB on the driver.
-MAX_WINDOWS = 60_000
 UNKNOWN = "und"
 #: Windows that are multiplied at once.
 TILE = 32
@@ -156,17 +152,20 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = 300, windows: int = 10) -> Model | None:
-    """A model from the labelled documents that are not held out; None if there are none."""
+def train(docs: DataFrame, per_lang: int = 300, windows: int = 10, most: int = 60_000) -> Model | None:
+    """A model from the labelled documents that are not held out; None if there are none. The driver holds most * WINDOW bytes."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & has_letter(F.col("text")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return None
     h = F.xxhash64("doc_id", "text")
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, per_lang / r["count"]))])
     part = F.pmod(h, F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40)
-    sample = labelled.filter(F.col("lang").isin([r.lang for r in counts])).filter(part).select("text", "lang", h.alias("h"))
-    rows = sample.mapInArrow(_sampled(windows), "lang string, h long, data binary").orderBy("h", "lang", "data").limit(min(MAX_WINDOWS, 2 * per_lang * windows * len(counts))).collect()
+    sample = labelled.filter(part).select("text", "lang", h.alias("h"))
+    cut = sample.mapInArrow(_sampled(windows), "lang string, h long, data binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "data"))
+    cap = max(1, min(2 * per_lang * windows, most // len(counts)))
+    rows = cut.withColumn("place", place).filter(F.col("place") <= cap).orderBy("h", "lang", "data").collect()
     if not rows:
         return None
     langs = sorted({r.lang for r in rows})
@@ -201,7 +200,7 @@ def predict(text: Column, model: Model | None) -> Column:
             for i, t in enumerate(texts):
                 names.append(UNKNOWN)
                 scores.append(0.0)
-                if t is None or not letter(t):
+                if t is None:
                     continue
                 data = t.encode("utf-8", "surrogatepass")
                 w = windows(data)
@@ -216,8 +215,7 @@ def predict(text: Column, model: Model | None) -> Column:
             flush()
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    letter = re.compile(r"[^\W\d_]").search
-    return run(text)
+    return run(F.when(has_letter(text), text))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
