@@ -4,7 +4,7 @@
 size (192 payload bytes each), after an ID3 tag with the payload's length and a frame with
 the variable-bitrate table. ``parse`` reads any MPEG-1, 2 or 2.5 stream of Layers I to III: it skips and reads tags, finds
 frame headers again after foreign bytes, reads Xing, Info and VBRI tables, verifies frame checksums,
-and returns the exact duration and every frame's offset.
+and returns the exact duration and every frame's offset, which are stored beside the stream. Damaged and cut tags, tables and frames are skipped; of a stream without frames the feature says so.
 
 Nulls, ties, repeats: a null text is an empty one and an empty payload is 192 spaces; equal texts give
 equal streams. An empty table gives an empty result. Streams are processed one at a time.
@@ -107,9 +107,15 @@ class Stream:
 
 
 def _syncsafe(b: bytes) -> int:
+    """Seven bits of each of four bytes; missing ones count as zero."""
+    b = b.ljust(4, b"\0")
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+def _big(data: bytes, at: int, n: int = 4) -> int:
+    return int.from_bytes(data[at : at + n].ljust(n, b"\0"), "big")
+
+
 def _text(b: bytes) -> str:
     return b[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(b[0], "latin-1"), "replace") if b else ""
 
@@ -117,13 +123,13 @@ def _text(b: bytes) -> str:
 def _id3v2(data: bytes, at: int, tags: dict) -> int:
     """Reads a tag's text frames; returns where it ends."""
     major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
-    end, p = at + 10 + size, at + 10
+    end, p = min(len(data), at + 10 + size), at + 10
     if flags & 0x40:
-        p += _syncsafe(data[p : p + 4]) if major == 4 else struct.unpack(">I", data[p : p + 4])[0] + 4
+        p += _syncsafe(data[p : p + 4]) if major == 4 else _big(data, p) + 4
     head = 6 if major == 2 else 10
     while p + head <= end and data[p]:
         name = data[p : p + (3 if major == 2 else 4)].decode("latin-1")
-        length = int.from_bytes(data[p + 3 : p + 6], "big") if major == 2 else _syncsafe(data[p + 4 : p + 8]) if major == 4 else struct.unpack(">I", data[p + 4 : p + 8])[0]
+        length = _big(data, p + 3, 3) if major == 2 else _syncsafe(data[p + 4 : p + 8]) if major == 4 else _big(data, p + 4)
         body = data[p + head : min(end, p + head + length)]
         if name.startswith("T"):
             value = _text(body)
@@ -142,17 +148,17 @@ def _vbr_table(data: bytes, at: int, h: Header) -> dict:
     """The variable-bitrate table in a frame, if it has one."""
     for p in {at + 4 + h.side, at + 4 + h.side + 2 * h.crc}:
         if data[p : p + 4] in (b"Xing", b"Info"):
-            out, flags, q = {"kind": data[p : p + 4].decode()}, struct.unpack(">I", data[p + 4 : p + 8])[0], p + 8
+            out, flags, q = {"kind": data[p : p + 4].decode()}, _big(data, p + 4), p + 8
             for bit, name in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
-                    out[name], q = struct.unpack(">I", data[q : q + 4])[0], q + 4
+                    out[name], q = _big(data, q), q + 4
             if flags & 4:
                 out["toc"] = list(data[q : q + 100])
             return out
     p = at + 36
     if data[p : p + 4] == b"VBRI":
-        size, frames, n, scale, width, per = struct.unpack(">IIHHHH", data[p + 10 : p + 26])
-        points = [int.from_bytes(data[p + 26 + i * width : p + 26 + (i + 1) * width], "big") * scale for i in range(n)]
+        size, frames, n, scale, width, per = struct.unpack(">IIHHHH", data[p + 10 : p + 26].ljust(16, b"\0"))
+        points = [_big(data, p + 26 + i * width, width) * scale for i in range(n) if p + 26 + (i + 1) * width <= len(data)]
         return {"kind": "VBRI", "bytes": size, "frames": frames, "points": points, "frames_per_point": per}
     return {}
 
@@ -241,51 +247,58 @@ def padded(raw: bytes) -> bytes:
 
 
 def feature(s: Stream) -> str:
+    """What the stream says; of one without frames, that there are none."""
     d, n = s.duration, len(s.offsets)
+    if not n:
+        return f"frames=0;samples=0;seconds=0/1;table={s.table.get('kind', '')}:{s.table.get('frames', '')};resyncs={s.resyncs}"
     seek = zlib.crc32(struct.pack(f"<{n}Q", *s.offsets))
     h = next(iter(s.headers))
     return f"layer={h.layer};hz={h.hz};frames={n};samples={s.samples};seconds={d.numerator}/{d.denominator};table={s.table.get('kind', '')}:{s.table.get('frames', '')};crc_ok={s.checked - s.damaged};resyncs={s.resyncs};seek={s.offsets[0]},{s.offsets[n // 2]},{s.offsets[-1]};seek_crc32={seek}"
 
 
+#: A stream, its exact duration (samples / hz seconds) and where its frames begin.
+STORED = "doc_id long, media binary, samples long, hz int, seek_offsets array<long>"
+
+
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for lo, hi in chunks(texts, 4_000_000):
             raw = [t.encode() for t in texts[lo:hi]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([wrap(padded(r), len(r)) for r in raw], pa.binary())], names=["doc_id", "media"])
+            media = [wrap(padded(r), len(r)) for r in raw]
+            parsed = [parse(m) for m in media]
+            cols = [batch.column("doc_id").slice(lo, hi - lo), pa.array(media, pa.binary()), pa.array([s.samples for s in parsed], pa.int64()), pa.array([next(iter(s.headers)).hz for s in parsed], pa.int32()), pa.array([s.offsets for s in parsed], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in STORED.split(", ")])
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id and media: each text as the payload of an MPEG audio stream."""
+    """Each text as the payload of an MPEG audio stream, with the stream's duration and every frame's offset."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_store, "doc_id long, media binary")
+    return rows.mapInArrow(_store, STORED)
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, samples long, frames long, seek_offsets array<long>"
 
 
-def _load(seek_every: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
-                data = data.as_py()
-                s = parse(data)
-                payload = unwrap(data, s)
-                length = int(s.tags["TXXX:payload"])
-                if len(payload) != max(1, -(-length // UNIT)) * UNIT:
-                    raise ValueError(f"the stream of document {doc_id} holds {len(payload)} bytes of a payload of {length}")
-                rows.append((doc_id, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s), float(s.duration), s.samples, len(s.offsets), s.offsets[::seek_every]))
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in READ.split(", ")])
-
-    return run
-
-
-def load(media: DataFrame, seek_every: int = 64) -> DataFrame:
-    """What the stored streams say and carry: digests, exact durations and every n-th frame's offset."""
-    return media.mapInArrow(_load(seek_every), READ)
+def _load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, data, samples, offsets in zip(batch.column("doc_id").to_pylist(), batch.column("media"), batch.column("samples").to_pylist(), batch.column("seek_offsets")):
+            data = data.as_py()
+            s = parse(data)
+            payload = unwrap(data, s)
+            length = int(s.tags["TXXX:payload"])
+            if len(payload) != max(1, -(-length // UNIT)) * UNIT or samples != s.samples or offsets.as_py() != s.offsets:
+                raise ValueError(f"the stream of document {doc_id} holds {len(payload)} bytes of a payload of {length}, or isn't as its index says")
+            rows.append((doc_id, length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(s), float(s.duration), s.samples, len(s.offsets), s.offsets))
+        if rows:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in READ.split(", ")])
+
+
+def load(media: DataFrame) -> DataFrame:
+    """What the stored streams say and carry; they are parsed again and held against the stored durations and offsets."""
+    return media.mapInArrow(_load, READ)
 
 
 def media_table(docs: DataFrame, scratch: Scratch) -> DataFrame:
