@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='pellucid-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/pellucid-{uuid.uuid4().hex}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+@cache
+def _local_base() -> str:
+    """A temporary folder of this process, removed as it ends."""
+    path = tempfile.mkdtemp(prefix="pellucid-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage and outlive executors."""
 
@@ -78,14 +89,20 @@ def process_state(key: object, make: Callable[[], Any]) -> Any:
 
 
 def release() -> None:
-    """Frees the process's state, and gives its memory back to the system where that can be asked for."""
+    """Frees the process's state."""
     if _state:
         _state.clear()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Gives the process's free memory back to the system where that can be asked for, as processes outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def sliced(batches: Iterable, rows: int = 500) -> Iterator:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -61,6 +62,27 @@ def test_tables_equal_the_plain_network():
     assert np.allclose(m.probabilities(x), p, atol=1e-4)
 
 
+def test_numerals_are_no_letters_and_scores_are_weighted_means(docs):
+    rows = [(1000 + i, language(i, k), k) for i, k in enumerate(["aa", "bb"] * 30)]
+    odd = [(1, "½ ²"), (2, "Ⅷ ①"), (3, "٣ 12 !"), (4, "x½"), (5, "ª"), (6, " ".join(language(i, "aa") for i in range(30)))]
+    df = docs(rows + odd)
+    model = langid.train(df)
+    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+    assert [got[i].lang_pred == "und" for i in range(1, 7)] == [True, True, True, False, False, False]
+    for d, t, *_ in rows + odd[3:]:
+        data = t.encode()
+        cut = [data[i : i + 256] for i in range(0, len(data), 256)]
+        x = np.stack([np.frombuffer(c.ljust(256, b"\0"), np.uint8) for c in cut])
+        mean = np.average(model.probabilities(x), axis=0, weights=[len(c) for c in cut])
+        assert got[d].score == pytest.approx(mean.max(), abs=1e-5) and mean[model.langs.index(got[d].lang_pred)] == pytest.approx(mean.max(), abs=1e-5)
+
+
+def test_every_language_is_learned(docs):
+    rows = [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]} " * 9, f"l{i % 300}") for i in range(1200)]
+    model = langid.train(docs(rows), per_lang=2, windows=2, most=300)
+    assert len(model.langs) > 250
+
+
 # -- licenses
 
 
@@ -157,14 +179,45 @@ def test_apply_keeps_columns_and_words(docs, scratch):
     assert all(abs(got[s] - want[s]) <= 0.5 for s in want)
 
 
-def test_hypergeometric_draws(spark):
-    for pop, good, draws in ((50, 20, 25), (10, 10, 4), (7, 0, 3), (100_000, 50_000, 60_000), (10**9, 10**8, 5 * 10**8)):
-        u = lambda c: (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-        x = mixing.hypergeometric(F.lit(pop).cast("long"), F.lit(good).cast("long"), F.lit(draws).cast("long"), u(1), u(2))
-        got = np.array([r.x for r in spark.range(2000).select(x.alias("x")).collect()])
-        assert got.min() >= max(0, draws - (pop - good)) and got.max() <= min(good, draws)
-        mean, var = draws * good / pop, draws * good / pop * (1 - good / pop) * (pop - draws) / max(1, pop - 1)
-        assert abs(got.mean() - mean) <= 5 * (var / 2000) ** 0.5 + 1e-9 and abs(got.std() - var**0.5) <= 0.1 * var**0.5 + 1e-9
+def log_p(pop, good, draws, x):
+    f = lambda n: math.lgamma(n + 1)
+    return f(good) - f(x) - f(good - x) + f(pop - good) - f(draws - x) - f(pop - good - draws + x) - f(pop) + f(draws) + f(pop - draws)
+
+
+@pytest.mark.parametrize("pop,good,draws", [(50, 20, 25), (10, 10, 4), (7, 0, 3), (3_600, 1_800, 1_800), (100_000, 50_000, 60_000), (360_000, 180_000, 180_000), (1_000_000, 900_000, 700_000), (36_000_000, 18_000_000, 18_000_000), (10**9, 10**8, 5 * 10**8)])
+def test_hypergeometric_draws(spark, pop, good, draws):
+    """Against the exact distribution, at deviations of 0 to 5000."""
+    u = lambda c: (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    x = mixing.hypergeometric(F.lit(pop).cast("long"), F.lit(good).cast("long"), F.lit(draws).cast("long"), u(1), u(2))
+    n = 4000
+    got = np.array([r.x for r in spark.range(n).select(x.alias("x")).collect()])
+    lo, hi = max(0, draws - (pop - good)), min(good, draws)
+    assert got.min() >= lo and got.max() <= hi
+    mean, sd = draws * good / pop, (draws * good / pop * (1 - good / pop) * (pop - draws) / max(1, pop - 1)) ** 0.5
+    assert abs(got.mean() - mean) <= 5 * sd / n**0.5 + 1e-9 and abs(got.std() - sd) <= 0.1 * sd + 1e-9
+    if sd < 3:
+        return
+    # chi-square over 20 bins of about equal probability
+    a, b = max(lo, int(mean - 8 * sd)), min(hi, int(mean + 8 * sd))
+    cdf = np.cumsum(np.exp([log_p(pop, good, draws, k) for k in range(a, b + 1)]))
+    cdf /= cdf[-1]
+    cuts = np.unique(np.searchsorted(cdf, np.arange(1, 20) / 20))
+    p = np.diff(np.concatenate([[0], cdf[cuts], [1]]))
+    seen = np.bincount(np.searchsorted(a + cuts, got, "left"), minlength=len(p))
+    assert ((seen - n * p) ** 2 / (n * p)).sum() < 50  # 19 degrees of freedom: above 50 once in 8000
+
+
+def test_shards_hold_random_blocks_of_many_sources(spark):
+    rows = [(f"{i:05d}", 10 + i % 7) for i in range(5000)]
+    got = mixing.split_tree(spark.createDataFrame(rows, "key string, blocks long"), 8, 3).collect()
+    assert len(got) == 5000
+    counts = np.array([np.diff([0, *r.bounds]) for r in got])
+    assert {r.key: r.bounds[-1] for r in got} == dict(rows) and counts.min() >= 0
+    assert counts.sum(0).max() - counts.sum(0).min() <= 1
+    expect = counts.sum(1)[:, None] / 8
+    assert 0.9 < ((counts - expect) ** 2 / expect).sum() / (5000 * 7) < 1.1
+    again = mixing.split_tree(spark.createDataFrame(rows[::-1], "key string, blocks long"), 8, 3).collect()
+    assert sorted(again) == sorted(got)
 
 
 # -- top-k
@@ -274,3 +327,34 @@ def test_vbr_tables():
     assert s.table == {"kind": "VBRI", "bytes": 5000, "frames": 12, "points": [16, 32], "frames_per_point": 6} and len(s.offsets) == 12
     s = media.parse(media.wrap(media.padded(b"abc"), 3))
     assert s.table["kind"] == "Info" and s.table["frames"] == 1 and len(s.table["toc"]) == 100 and s.tags["TXXX:payload"] == "3"
+
+
+def test_stored_streams_by_hand(docs, scratch):
+    """Wanted values without the module: payload, digests, duration and frame places."""
+    texts = ["", "a", "x" * 192, "é" * 97, "word " * 1000, "\0\xff TAG"]
+    stored = {r.doc_id: r for r in media.store(docs(list(enumerate(texts)))).collect()}
+    for r in media.media_table(docs(list(enumerate(texts))), scratch).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        frames = len(payload) // 192
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-16:])) and r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        data, s = stored[r.doc_id].media, stored[r.doc_id]
+        assert s.seek_offsets == r.seek_offsets and all(data[o : o + 2] == b"\xff\xfa" for o in s.seek_offsets) and len(s.seek_offsets) == frames
+        assert (s.samples, s.hz) == (1152 * frames, 48000) and r.seconds == pytest.approx(0.024 * frames) and hashlib.sha256(data).hexdigest() == r.media_sha256
+
+
+def test_damaged_streams_are_parsed():
+    r = random.Random(9)
+    whole = media.wrap(media.padded(b"some payload " * 40), 520)
+    vbri = bytearray(media.HEAD.ljust(media.SIZE, b"\0"))
+    vbri[36:62] = b"VBRI" + bytes([255] * 22)
+    seeds = [whole, whole + b"TAG" + bytes(125), b"ID3\x04\0\x50\x7f\x7f\x7f\x7f" + whole, b"ID3\x03\0\0\x7f\x7f\x7f\x7f", b"ID3\x03\0\x40\0\0\0\1", b"ID3\x02\0\0\0\0\0\x08TXX\xff\xff\xff", bytes(vbri) * 3, b""]
+    for _ in range(3000):
+        data = bytearray(r.choice(seeds))
+        for _ in range(r.randrange(4)):
+            if data:
+                data[r.randrange(min(len(data), 400))] ^= 1 << r.randrange(8)
+        data = bytes(data[: r.randrange(len(data) + 1)]) if r.random() < 0.6 else bytes(data)
+        s = media.parse(data)
+        assert all(0 <= o < len(data) for o in s.offsets) and media.feature(s) and s.duration >= 0
+        media.unwrap(data, s)
