@@ -9,7 +9,8 @@ the limit, and survivors are verified bit by bit.
 Equal fingerprints are one node. Large groups of near copies never form all their pairs: for some rounds each
 row is only compared with one centre of each block, components are contracted, and blocks within one
 component are done. Only rows of different components that still share a block are compared pairwise, so
-that no link is lost.
+that no link is lost. A block with more than CROWD rows is first split, as often as LEVELS, by the bits that needn't agree, in
+``bits + 1`` groups of which rows that are linked agree on one at least.
 
 Nulls, ties, repeats: a null text has no word; texts without words have fingerprint zero and are linked like
 any others. Documents without id keep their row; a component's id is its least id, null if none has one.
@@ -18,7 +19,9 @@ Repeated rows stay rows. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +39,8 @@ SEED, WORDS, BITS = 42, 4, 4
 BLOCKS = 6
 #: Reference fingerprints, and rounds of comparing with centres.
 PIVOTS, ROUNDS = 16, 3
+#: Rows that share a key without being split further, and times that a key is split at most.
+CROWD, LEVELS = 64, 3
 SLICE = 1 << 16
 
 
@@ -82,25 +87,46 @@ def pivot_table(fp: Column) -> list[Column]:
     return out
 
 
-def _near(a: str, b: str, bits: int) -> Column:
-    """The pivot table's test of two aliased tables' rows, then the exact one."""
+def _apart(a: str, b: str, bits: int) -> Column:
+    """The pivot table's test of two aliased tables' rows: no coordinate differs by more than the bits."""
     tests = []
     for c in range(PIVOTS // 8):
         for j in range(8):
             x, y = (F.shiftright(F.col(f"{t}.d{c}"), 8 * j).bitwiseAND(F.lit(127)) for t in (a, b))
             tests.append(F.abs(x - y) <= bits)
-    out = tests[0]
-    for t in tests[1:]:
-        out &= t
-    return out & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
+    return reduce(operator.and_, tests)
+
+
+def _near(a: str, b: str, bits: int) -> Column:
+    """The pivot table's test, which discards most pairs that merely share a block, then the exact one."""
+    return _apart(a, b, bits) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= bits)
+
+
+def _choices(bits: int, blocks: int) -> list[int]:
+    """The bits of every choice of blocks that may agree."""
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen) for chosen in combinations(range(blocks), blocks - bits)]
 
 
 def _keyed(nodes: DataFrame, bits: int, blocks: int) -> DataFrame:
     """A row for each node and choice of blocks that may agree."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen) for chosen in combinations(range(blocks), blocks - bits)]
-    keys = F.array(*[F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for n, m in enumerate(masks)])
-    return nodes.select("fp", "lab", *pivot_table(F.col("fp")), F.explode(keys).alias("key"))
+    keys = F.array(*[F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for n, m in enumerate(_choices(bits, blocks))])
+    return nodes.select("fp", "lab", *pivot_table(F.col("fp")), F.posexplode(keys).alias("choice", "key"))
+
+
+def _split(rows: DataFrame, bits: int, blocks: int, level: int) -> DataFrame:
+    """Rows of crowded keys under finer ones: the bits that needn't agree are dealt to ``bits + 1`` groups, of which linked rows
+    agree on one at least; each level deals them in another way."""
+    size = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(F.col("key").alias("crowded"))
+    masks = []
+    for chosen in _choices(bits, blocks):
+        rest = [i for i in range(64) if not chosen >> i & 1]
+        group = (lambda i: i * (bits + 1) // len(rest), lambda i: i % (bits + 1), lambda i: (i // (bits + 1) + i) % (bits + 1))[level]
+        masks.append([_signed(sum(1 << b for i, b in enumerate(rest) if group(i) == g)) for g in range(bits + 1)])
+    of = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in masks]), F.col("choice") + 1)
+    finer = F.transform(of, lambda m: F.xxhash64("key", F.lit(level), m, F.col("fp").bitwiseAND(m)))
+    both = rows.join(size, rows["key"] == size["crowded"], "left")
+    return both.withColumn("key", F.explode(F.when(F.col("crowded").isNull(), F.array("key")).otherwise(finer))).drop("crowded")
 
 
 def clusters(nodes: DataFrame, scratch: Scratch, bits: int = BITS, blocks: int = BLOCKS, rounds: int = ROUNDS) -> DataFrame:
@@ -128,7 +154,12 @@ def clusters(nodes: DataFrame, scratch: Scratch, bits: int = BITS, blocks: int =
         if r < rounds:
             row, other, apart = keyed, mixed.select("key", "c.fp", "c.lab", "c.d0", "c.d1"), F.col("row.lab") != F.col("other.lab")
         else:
-            row = other = keyed.join(mixed.select("key"), "key", "left_semi")
+            rows = scratch.save(keyed.join(mixed.select("key"), "key", "left_semi"))
+            for level in range(LEVELS):
+                if rows.groupBy("key").count().filter(F.col("count") > CROWD).isEmpty():
+                    break
+                rows = scratch.save(_split(rows, bits, blocks, level))
+            row = other = rows
             apart = F.col("row.lab") < F.col("other.lab")
         pair = row.alias("row").join(other.alias("other"), (F.col("row.key") == F.col("other.key")) & apart & _near("row", "other", bits))
         found = merge(pair.select(F.col("row.lab").alias("a"), F.col("other.lab").alias("b")))

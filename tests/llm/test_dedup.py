@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from texts import ODD, text, words
 
 from pellucid.llm import chaining, graph, simhash
@@ -101,6 +102,39 @@ def test_pivot_table_never_discards_a_link(spark):
     assert all(x.near == (x.n <= 4) for x in both.collect())
 
 
+def test_a_crowd_in_one_block_is_split(spark, scratch):
+    """Thousands of fingerprints that agree on 22 bits and differ in six or more others are not all compared."""
+    r = random.Random(11)
+    basis = [r.getrandbits(42) for _ in range(12)]
+    words_ = set()
+    for i in range(1 << 12):
+        x = 0
+        for j in range(12):
+            x ^= basis[j] if i >> j & 1 else 0
+        words_.add(x)
+    far = [w for w in words_ if w == 0 or w.bit_count() >= 6]
+    fps = [f << 22 | 0x2AAAA5 for f in far] + [(far[7] << 22 | 0x2AAAA5) ^ 0b1111]
+    nodes = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    got = {x.fp: x.lab for x in simhash.clusters(nodes, scratch, rounds=0).collect()}
+    signed = [simhash._signed(f) for f in fps]
+    assert [got.get(x, x) for x in signed] == brute_components(fps, signed)
+    keyed = simhash._keyed(nodes.select("fp", F.col("fp").alias("lab")), 4, 6)
+    pairs = lambda df: df.groupBy("key").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    split = keyed
+    for level in range(simhash.LEVELS):
+        split = simhash._split(split, 4, 6, level)
+    assert pairs(split) < pairs(keyed) / 20
+
+
+def test_the_pivot_table_discards_most_pairs_of_a_block(spark):
+    r = random.Random(13)
+    fps = [r.getrandbits(42) << 22 for _ in range(200)]
+    t = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long").select("fp", *simhash.pivot_table(F.col("fp")))
+    pairs = t.alias("row").join(t.alias("other"), F.col("row.fp") < F.col("other.fp"))
+    left = pairs.filter(simhash._apart("row", "other", 4)).count()
+    assert left < 0.01 * pairs.count()
+
+
 def test_empty(docs, scratch):
     assert simhash.near_duplicates(docs([]), scratch).count() == 0
     assert simhash.keep_one(docs([]), scratch).count() == 0
