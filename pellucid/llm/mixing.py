@@ -186,11 +186,15 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         n = -(-n // FAN)
         levels.append(levels[-1].groupBy(group.alias("id")).agg(F.sum("blocks").alias("blocks")))
     # The shards are as large as each other, to one block.
-    part = lambda j: F.floor(F.col("total") * j / shards)
-    cols = levels[-1].agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("total")).select(F.lit(0).cast("long").alias("of"), F.array(*[part(j + 1) - part(j) for j in range(shards)]).alias("cols"))
+    part = lambda j: F.floor(_total(F.col("quota")) * j / shards)
+    cols = None
     for n, level in reversed(list(enumerate(levels))):
         groups = level.groupBy(group.alias("group")).agg(F.sort_array(F.collect_list(F.struct("id", "blocks"))).alias("s"))  # FAN at most
-        groups = groups.join(cols, groups["group"] == cols["of"]).select("group", F.col("s.id").alias("ids"), F.col("s.blocks").alias("quota"), "cols")
+        groups = groups.select("group", F.col("s.id").alias("ids"), F.col("s.blocks").alias("quota"))
+        if cols is None:
+            groups = groups.withColumn("cols", F.array(*[part(j + 1) - part(j) for j in range(shards)]))
+        else:
+            groups = groups.join(cols, groups["group"] == cols["of"]).drop("of")
         cols = _dealt(groups, shards, seed + n).select(F.col("id").alias("of"), F.col("counts").alias("cols"))
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
     add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all"))
