@@ -32,7 +32,7 @@ TOP = 0x2100
 #: Kinds of bytes.
 END, SPACE, LETTER, NUMBER, OTHER = range(5)
 #: Pre-tokens in the table at most (it is then emptied), and its slots, as a power of two.
-KEPT, SLOTS = 1_000_000, 21
+KEPT, SLOTS = 450_000, 20
 APOSTROPHE, BLANK = 0x27, 0x20
 
 
@@ -247,7 +247,7 @@ class Encoder:
             if ids is None:
                 ids = self._merged([piece])[0]
                 if len(piece) <= 64:
-                    if len(self.long) > 100_000:
+                    if len(self.long) > 20_000:
                         self.long.clear()
                     self.long[piece] = ids
             of[k] = len(mine)
@@ -299,7 +299,7 @@ def binary_column(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(little_endian(ids))]).cast(pa.binary())
 
 
-def chunks(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], chars: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many characters, so that what is held at once is bounded by that and one text."""
     begin, held = 0, 0
     for i, t in enumerate(texts):

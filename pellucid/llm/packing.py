@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import Scratch, sliced
+from pellucid.llm.common import Scratch, release, sliced, trim
 from pellucid.llm.encoding import binary_column, chunks, encoder
 
 #: Windows whose schedule is computed at once, and bytes of such blocks that a task keeps (one block at least).
@@ -133,12 +133,14 @@ def _encode(vocabulary: str, end: int):
                     "n": pa.array(counts),
                     "ids": binary_column(ids, counts),
                 })
+        trim()
 
     return run
 
 
 def _cut(sizes: list[int], weights: list[float], length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # the encoder, which is of no more use
         plan = Schedule(np.array(sizes, np.int64), np.array(weights, np.float64), length)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for whole in batches:
