@@ -13,10 +13,15 @@ def missing_columns(columns: list[str]) -> list[str]:
 
 
 def label(value: Column) -> Column:
-    """A whole number, cut towards zero; what isn't a number is an error."""
+    """A whole number, cut towards zero; what isn't a number is an error, and null stays null."""
     return value.cast("double").cast("int")
 
 
+def required_label(value: Column) -> Column:
+    """A label that must be there."""
+    return F.coalesce(label(value), F.raise_error(F.lit("gt_label can't be null")).cast("int"))
+
+
 def with_dataset(df: DataFrame, stem: Column) -> DataFrame:
     """The file's stem as dataset_name where the file has no such column."""
     return df if "dataset_name" in df.columns else df.withColumn("dataset_name", stem)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pellucid.functions import paths
-from pellucid.operators import evaluation, images, reasoner, results
+from pellucid.operators import agent, evaluation, images, reasoner, results
 from pellucid.plans.registry import query
 from pellucid.plans.views import MANIFEST, manifest, planes, table
 from pellucid.sources import images as pics
@@ -53,6 +53,20 @@ def batch_run(spark: SparkSession, sf: str) -> DataFrame:
     return run_batch(ready.select("image_path", "gt_label", "dataset_name"), done, _features(spark, sf), cache).select("image_path")
 
 
+_AGENT = f"""WITH {MANIFEST}, n AS (SELECT image_path, doc_id, doc_id % 7 = 0 AS stuck FROM manifest)
+SELECT image_path, NOT stuck AS is_success, CASE WHEN NOT stuck THEN CAST(doc_id % 2 AS INT) END AS finally_result, CASE WHEN stuck THEN 'MAX_ITERATIONS' ELSE 'DONE' END AS stage,
+  CASE WHEN stuck THEN 'INITIAL,INITIAL,INITIAL,MAX_ITERATIONS' ELSE 'EVIDENCE_ADJUDICATION,FORENSIC_REPORT_FORMULATION,DONE' END AS trail, 4 AS llm_calls, CASE WHEN stuck THEN 0 ELSE 1 END AS tool_calls,
+  CASE WHEN NOT stuck AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS tool_errors, CASE WHEN stuck THEN 'max_iterations' END AS error, CASE WHEN stuck THEN 9 ELSE 6 END AS n_messages FROM n"""
+
+
+@query(_AGENT)
+def agent_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The agent loop over every labelled image, with a scripted agent."""
+    m = manifest(spark, sf).select("image_path", F.concat(F.lit("data:image/jpeg;n="), F.col("doc_id").cast("string")).alias("image"))
+    got = agent.run(m, agent.scripted, cap=4)
+    return got.select("image_path", "is_success", "finally_result", "stage", F.array_join("trail", ",").alias("trail"), "llm_calls", "tool_calls", "tool_errors", "error", F.size("messages").alias("n_messages"))
+
+
 @query()
 def batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the offline reasoner's verdicts."""

@@ -89,16 +89,25 @@ def read_png(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w + 1)
     out = np.zeros((h, w), np.uint8)
     for y in range(h):
-        f, line = raw[y, 0], raw[y, 1:].astype(int)
-        up = out[y - 1].astype(int) if y else np.zeros(w, int)
-        for x in range(w):
-            left, corner = (int(out[y, x - 1]), int(up[x - 1])) if x else (0, 0)
-            if f == 4:
-                guess = left + int(up[x]) - corner
-                add = min((abs(guess - left), 0, left), (abs(guess - int(up[x])), 1, int(up[x])), (abs(guess - corner), 2, corner))[2]
-            else:
-                add = (0, left, int(up[x]), (left + int(up[x])) // 2)[f]
-            out[y, x] = (line[x] + add) & 255
+        f, line = int(raw[y, 0]), raw[y, 1:]
+        up = out[y - 1] if y else np.zeros(w, np.uint8)
+        if f == 0:
+            out[y] = line
+        elif f == 1:
+            out[y] = np.cumsum(line, dtype=np.uint64) & 255
+        elif f == 2:
+            out[y] = line + up
+        else:  # each pixel needs the one before it
+            row, above, left, corner = [], up.tolist(), 0, 0
+            for x, b in zip(line.tolist(), above):
+                if f == 3:
+                    add = left + b >> 1
+                else:
+                    guess = left + b - corner
+                    add = min((abs(guess - left), 0, left), (abs(guess - b), 1, b), (abs(guess - corner), 2, corner))[2]
+                left, corner = x + add & 255, b
+                row.append(left)
+            out[y] = row
     return out
 
 

@@ -24,20 +24,21 @@ def paths_of(given: object) -> list[str]:
 def read(spark: SparkSession, given: object, image_root: str | None = None) -> DataFrame:
     """image_path, gt_label, dataset_name of all manifests; of equal paths the last row of the last file.
 
-    Files need image_path and gt_label. Empty ones are skipped, and an error if all are. A row's place in
+    Files need image_path and gt_label; labels that are null or no number are errors. Empty ones are skipped, and an error if all are. Fields may be
+    quoted over several lines. A row's place in
     its file decides among equal paths, so a file is read as one split: large manifests belong in
     many files or a table.
     """
     frames = []
     for path in paths_of(given):
-        df = spark.read.option("header", True).option("wholeFile", True).csv(path)
+        df = spark.read.option("header", True).option("multiLine", True).csv(path)
         if missing := manifest.missing_columns(df.columns):
             raise ValueError(f"{path} lacks columns: {', '.join(missing)}")
         if df.isEmpty():
             continue
         df = manifest.with_dataset(df, F.lit(PurePosixPath(path).stem))
         folder = str(PurePosixPath(path).parent)
-        rows = df.select(p.resolve(F.col("image_path"), F.lit(folder), image_root).alias("image_path"), manifest.label(F.col("gt_label")).alias("gt_label"), F.col("dataset_name"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row_ord"))
+        rows = df.select(p.resolve(F.col("image_path"), F.lit(folder), image_root).alias("image_path"), manifest.required_label(F.col("gt_label")).alias("gt_label"), F.col("dataset_name"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row_ord"))
         frames.append(rows.filter("image_path <> ''"))
     if not frames:
         raise ValueError("no manifest has rows")
