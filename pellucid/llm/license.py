@@ -1,14 +1,19 @@
 """License scans in DataFrame functions only: MinHash bands over overlapping text windows, then exact containment.
 
-Texts are lower-cased and cut at everything but letters and digits. A window has ``2 * SHINGLE - 2`` words and
-shares half of them with the next, so that every five-word shingle lies in exactly one window, which has
-four. Each of ``bands`` hash permutations gives the window's least shingle as a key of one band; templates
-are indexed under every shingle in every band. A window that holds any number s of a template's
-shingles meets it with probability 1 - (1 - s/4) ** bands: more than 0.999 for one shingle at 24 bands, for
-each window on its own. Shingles of windows that meet a template are then compared exactly, and a document
-matches at a containment of 0.8 of the template's different shingles.
+Texts are lower-cased and cut at everything but letters and digits. Windows of ``WIDTH`` five-word shingles
+(twelve words) begin at every ``STRIDE``-th shingle of a text. Of ``BANDS * ROWS`` permutations each gives a window's least shingle,
+and ``ROWS`` of them are one band's key. Templates are indexed under the windows at all of their shingles.
+Windows with shingles in common at a Jaccard similarity s meet with probability 1 - (1 - s ** ROWS) ** BANDS: 1 for
+an equal window, over 0.99 with one shingle of eight changed (s = 7/9), 0.97 at s = 0.6, each window on its own. A text that
+has ``WIDTH + STRIDE - 1`` shingles of a template in a row holds an equal window wherever they begin, so
+that an unchanged notice is always met. Templates of fewer shingles cannot fill such a window; theirs are single
+shingles, whose only band is the shingle itself, and any shingle in common is met.
 
-Only windows with a matching key leave the scan; documents are never shuffled.
+For the documents and templates that met, all shingles of the whole text are compared exactly, and a document
+matches at a containment of 0.8 of the template's different shingles. A notice is lost only where edits leave
+no such run of it and every band of its remaining windows fails; what is reported is always exact.
+
+Only keys and shingles that a template has leave a scan; documents are never shuffled.
 
 Nulls, ties, repeats: a null text, and one of fewer than five words, matches nothing. Rows of equal id and
 text are one document; documents without id are reported with a null id. An empty table gives an
@@ -22,7 +27,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, STRIDE, BANDS, LEAST = 5, 4, 24, 0.8
+SHINGLE, WIDTH, STRIDE, BANDS, ROWS, LEAST = 5, 8, 4, 8, 2, 0.8
+#: Rows of the templates' index, of some 50 bytes, up to which it is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 CUT = r"[^\p{L}\p{N}]+"
 
 #: Notices as their licenses give or suggest them.
@@ -54,33 +61,70 @@ def _shingles(window: Column, at: int) -> Column:
     return F.xxhash64(*[F.get(window, F.lit(at + i)) for i in range(SHINGLE)])
 
 
-def _band(h: Column, k: int) -> Column:
-    return F.xxhash64(F.lit(k), h)
+def _windows(words: Column, stride: int) -> Column:
+    """Slices of WIDTH shingles' words; the last ones may be shorter."""
+    last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.floor(last / stride).cast("int")), lambda i: F.slice(words, i * stride + 1, WIDTH + SHINGLE - 1))
+
+
+def _hashes(window: Column) -> list[Column]:
+    """A window's shingles; places beyond its end repeat the first."""
+    first = _shingles(window, 0)
+    return [first] + [F.when(F.size(window) >= SHINGLE + j, _shingles(window, j)).otherwise(first) for j in range(1, WIDTH)]
+
+
+def _places() -> list[Column]:
+    return [F.col(f"h{j}") for j in range(WIDTH)]
+
+
+def _bands(bands: int) -> Column:
+    least = [F.least(*[F.xxhash64(F.lit(k), h) for h in _places()]) for k in range(bands * ROWS)]
+    return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(bands)])
+
+
+def _hashed(texts: DataFrame, ids: list[str], stride: int) -> DataFrame:
+    """ids, h0, h1, ...: the windows' shingles."""
+    cut = texts.filter(F.size("words") >= SHINGLE).select(*ids, F.explode(_windows(F.col("words"), stride)).alias("w"))
+    return cut.select(*ids, *[h.alias(f"h{j}") for j, h in enumerate(_hashes(F.col("w")))])
+
+
+def _keyed(texts: DataFrame, ids: list[str], stride: int, bands: int) -> DataFrame:
+    """ids, key: every band of every window of ``words``."""
+    return _hashed(texts, ids, stride).select(*ids, F.explode(_bands(bands)).alias("key"))
+
+
+def _each(texts: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, h: every shingle of ``words``, some repeated."""
+    return _hashed(texts, ids, WIDTH).select(*ids, F.explode(F.array(*_places())).alias("h"))
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS, least: float = LEAST) -> DataFrame:
     """doc_id, template_id, matched and total (different shingles), containment."""
     templates = TEMPLATES if templates is None else templates
-    rows = []
-    for name, text in templates.items():
-        w = _template_words(text)
+    cut = {name: _template_words(text) for name, text in templates.items()}
+    for name, w in cut.items():
         if len(w) < SHINGLE:
             raise ValueError(f"{name} has fewer than {SHINGLE} words")
-        rows += [(name, s) for s in {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}]
-    spark = docs.sparkSession
-    # Templates are given by the caller, who bounds them; they are as many rows as they have shingles.
-    known = spark.createDataFrame([(t, list(s)) for t, s in rows], "template_id string, shingle array<string>").select("template_id", _shingles(F.col("shingle"), 0).alias("h"))
+    n = sum(map(len, cut.values()))
+    short = {name: len(w) - SHINGLE + 1 < WIDTH + STRIDE - 1 for name, w in cut.items()}
+    given = docs.sparkSession.createDataFrame([(k, w, short[k]) for k, w in cut.items()], "template_id string, words array<string>, short boolean")
+    known = _each(given, ["template_id", "short"]).distinct()
     total = known.groupBy("template_id").agg(F.count("*").alias("total"))
-    index = known.select("template_id", F.explode(F.array(*[_band(F.col("h"), k) for k in range(bands)])).alias("key"))
+    index = _keyed(given.filter("not short"), ["template_id"], 1, bands).distinct()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
-    windows = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - SHINGLE) / STRIDE).cast("int")), lambda i: F.slice("words", i * STRIDE + 1, 2 * SHINGLE - 2))
-    cut = base.filter(F.size("words") >= SHINGLE).select("doc_id", "th", F.explode(windows).alias("w"))
-    first = _shingles(F.col("w"), 0)
-    hashed = cut.select("doc_id", "th", *[(first if j == 0 else F.when(F.size("w") >= SHINGLE + j, _shingles(F.col("w"), j)).otherwise(first)).alias(f"h{j}") for j in range(STRIDE)])
-    least_of = [F.least(*[_band(F.col(f"h{j}"), k) for j in range(STRIDE)]) for k in range(bands)]
-    keyed = hashed.select("doc_id", "th", *[f"h{j}" for j in range(STRIDE)], F.explode(F.array(*least_of)).alias("key"))
-    met = keyed.join(F.broadcast(index), "key").select("doc_id", "th", "template_id", F.explode(F.array(*[f"h{j}" for j in range(STRIDE)])).alias("h"))
-    exact = met.join(F.broadcast(known), ["template_id", "h"]).distinct()
-    found = exact.groupBy("doc_id", "th", "template_id").agg(F.count("*").alias("matched")).join(F.broadcast(total), "template_id")
-    return found.filter(F.col("matched") >= F.lit(least) * F.col("total")).select("doc_id", "template_id", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("containment"))
+    row = ["doc_id", "th", "template_id"]
+    shared = _each(base, row[:2]).join(_sized(known, n), "h").select(*row, "short", "h").distinct()
+    exact = shared.groupBy(*row, "short").agg(F.count("*").alias("matched")).join(_sized(total, len(cut)), "template_id")
+    found = exact.filter(F.col("matched") >= F.lit(least) * F.col("total"))
+    out = found.filter("short")
+    if not all(short.values()):
+        met = _keyed(base, row[:2], STRIDE, bands).join(_sized(index, n * bands), "key").select(*row).distinct()
+        a, b = found.filter("not short").alias("a"), met.alias("b")
+        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.template_id") == F.col("b.template_id"))
+        out = out.unionByName(a.join(b, same, "left_semi"))
+    return out.select("doc_id", "template_id", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("containment"))

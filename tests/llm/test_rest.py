@@ -86,13 +86,13 @@ def test_every_language_is_learned(docs):
 # -- licenses
 
 
-def brute_scan(rows):
+def brute_scan(rows, templates=license.TEMPLATES):
     cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     out = set()
     for d, t in rows:
         own = grams(cut(t or ""))
-        for name, tt in license.TEMPLATES.items():
+        for name, tt in templates.items():
             g = grams(cut(tt))
             if len(own & g) >= 0.8 * len(g):
                 out.add((d, name, len(own & g), len(g)))
@@ -116,6 +116,29 @@ def test_license_scan(docs):
         license.scan(docs([]), {"x": "too short"})
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_license_scan_finds_edited_notices(docs, monkeypatch, broadcast):
+    """Long templates with words replaced, dropped and added, down to the least containment; equal rows; both kinds of join."""
+    monkeypatch.setattr(license, "BROADCAST_ROWS", broadcast)
+    r = random.Random(11)
+    templates = {f"t{n}": text(n, 900 + n) for n in (5, 14, 15, 16, 30, 90, 300)}
+    rows = []
+    for i in range(500):
+        name = r.choice(list(templates))
+        w = templates[name].split()
+        for _ in range(r.randrange(0, len(w) // 22 + 2)):
+            at = r.randrange(len(w))
+            w[at : at + r.randrange(2)] = [f"x{i}"] * r.randrange(2)
+        at = r.randrange(60)
+        around = text(120, i).split()
+        rows.append((i, " ".join(around[:at] + w + around[at:])))
+    rows += rows[:20]
+    want = brute_scan(rows, templates)
+    got = [(x.doc_id, x.template_id, x.matched, x.total) for x in license.scan(docs(rows), templates).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert len(want) >= 200 and len(got) >= 0.995 * len(want)
+
+
 # -- mixing
 
 
