@@ -13,7 +13,7 @@ For the documents and templates that met, all shingles of the whole text are com
 matches at a containment of 0.8 of the template's different shingles. A notice is lost only where edits leave
 no such run of it and every band of its remaining windows fails; what is reported is always exact.
 
-Only keys and shingles that a template has leave a scan; documents are never shuffled.
+Band keys and shingles come from one scan, and only those that a template has leave it; documents are never shuffled.
 
 Nulls, ties, repeats: a null text, and one of fewer than five words, matches nothing. Rows of equal id and
 text are one document; documents without id are reported with a null id. An empty table gives an
@@ -62,9 +62,10 @@ def _shingles(window: Column, at: int) -> Column:
 
 
 def _windows(words: Column, stride: int) -> Column:
-    """Slices of WIDTH shingles' words; the last ones may be shorter."""
+    """Slices of WIDTH shingles' words; the last ones may be shorter. Null, not filtered, without shingles, so that texts are cut once."""
     last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), F.floor(last / stride).cast("int")), lambda i: F.slice(words, i * stride + 1, WIDTH + SHINGLE - 1))
+    all_of = F.transform(F.sequence(F.lit(0), F.floor(last / stride).cast("int")), lambda i: F.slice(words, i * stride + 1, WIDTH + SHINGLE - 1))
+    return F.when(F.size(words) >= SHINGLE, all_of)
 
 
 def _hashes(window: Column) -> list[Column]:
@@ -82,20 +83,14 @@ def _bands(bands: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(bands)])
 
 
-def _hashed(texts: DataFrame, ids: list[str], stride: int) -> DataFrame:
-    """ids, h0, h1, ...: the windows' shingles."""
-    cut = texts.filter(F.size("words") >= SHINGLE).select(*ids, F.explode(_windows(F.col("words"), stride)).alias("w"))
-    return cut.select(*ids, *[h.alias(f"h{j}") for j, h in enumerate(_hashes(F.col("w")))])
-
-
 def _keyed(texts: DataFrame, ids: list[str], stride: int, bands: int) -> DataFrame:
-    """ids, key: every band of every window of ``words``."""
-    return _hashed(texts, ids, stride).select(*ids, F.explode(_bands(bands)).alias("key"))
-
+    """ids, key: every band of every window of ``words``, and every shingle, some repeated.
 
-def _each(texts: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, h: every shingle of ``words``, some repeated."""
-    return _hashed(texts, ids, WIDTH).select(*ids, F.explode(F.array(*_places())).alias("h"))
+    A window tells its first shingles up to the next window's.
+    """
+    cut = texts.select(*ids, F.explode(_windows(F.col("words"), stride)).alias("w"))
+    hashed = cut.select(*ids, *[h.alias(f"h{j}") for j, h in enumerate(_hashes(F.col("w")))])
+    return hashed.select(*ids, F.explode(F.concat(_bands(bands), F.array(*_places()[:stride]))).alias("key"))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -112,19 +107,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int =
     n = sum(map(len, cut.values()))
     short = {name: len(w) - SHINGLE + 1 < WIDTH + STRIDE - 1 for name, w in cut.items()}
     given = docs.sparkSession.createDataFrame([(k, w, short[k]) for k, w in cut.items()], "template_id string, words array<string>, short boolean")
-    known = _each(given, ["template_id", "short"]).distinct()
-    total = known.groupBy("template_id").agg(F.count("*").alias("total"))
-    index = _keyed(given.filter("not short"), ["template_id"], 1, bands).distinct()
+    keys = _keyed(given, ["template_id", "short"], 1, bands).distinct()
+    shingles = given.select("template_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - SHINGLE), lambda i: F.slice("words", i + 1, SHINGLE))).alias("w")).select("template_id", _shingles(F.col("w"), 0).alias("key")).distinct()
+    total = shingles.groupBy("template_id").agg(F.count("*").alias("total"))
+    # Of a short template no bands are indexed: its shingles are windows themselves.
+    marked = keys.join(shingles.withColumn("shingle", F.lit(True)), ["template_id", "key"], "left")
+    index = marked.filter("shingle or not short").select("template_id", "key", F.coalesce("shingle", F.lit(False)).alias("shingle"), (F.col("short") | F.col("shingle").isNull()).alias("meets"))
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
     row = ["doc_id", "th", "template_id"]
-    shared = _each(base, row[:2]).join(_sized(known, n), "h").select(*row, "short", "h").distinct()
-    exact = shared.groupBy(*row, "short").agg(F.count("*").alias("matched")).join(_sized(total, len(cut)), "template_id")
-    found = exact.filter(F.col("matched") >= F.lit(least) * F.col("total"))
-    out = found.filter("short")
-    if not all(short.values()):
-        met = _keyed(base, row[:2], STRIDE, bands).join(_sized(index, n * bands), "key").select(*row).distinct()
-        a, b = found.filter("not short").alias("a"), met.alias("b")
-        same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")) & (F.col("a.template_id") == F.col("b.template_id"))
-        out = out.unionByName(a.join(b, same, "left_semi"))
-    return out.select("doc_id", "template_id", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("containment"))
+    shared = _keyed(base, row[:2], STRIDE, bands).join(_sized(index, n * (bands + 1)), "key").select(*row, "key", "shingle", "meets").distinct()
+    exact = shared.groupBy(*row).agg(F.count_if("shingle").alias("matched"), F.max("meets").alias("met")).join(_sized(total, len(cut)), "template_id")
+    found = exact.filter(F.col("met") & (F.col("matched") >= F.lit(least) * F.col("total")))
+    return found.select("doc_id", "template_id", "matched", "total", F.round(F.col("matched") / F.col("total"), 6).alias("containment"))
