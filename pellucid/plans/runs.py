@@ -40,7 +40,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return m.join(p, m["doc_id"] == p["vec_id"]).select("image_path", "f")
 
 
-_READY = f"WITH {MANIFEST} SELECT image_path FROM manifest JOIN embeddings ON doc_id = vec_id WHERE doc_id % 5 <> 0"
+_READY = f"WITH {MANIFEST} SELECT md5(image_path) || '.json' AS result_id, image_path, TRUE AS is_success, doc_id % 4 = 0 AS cached, CASE WHEN doc_id % 4 = 0 THEN CAST(gt_label AS INT) END AS cached_label, CAST(gt_label AS INT) AS gt_label, dataset_name FROM manifest JOIN embeddings ON doc_id = vec_id WHERE doc_id % 5 <> 0"
 
 
 @query(_READY)
@@ -50,7 +50,9 @@ def batch_run(spark: SparkSession, sf: str) -> DataFrame:
     done = m.filter("doc_id % 5 = 0").select(paths.result_id(F.col("image_path")).alias("result_id"))
     ready = m.join(table(spark, sf, "embeddings").select("vec_id"), m["doc_id"] == F.col("vec_id"), "left_semi")
     cache = ready.filter("doc_id % 4 = 0").select("image_path", F.lit("cached").alias("observations"), F.col("gt_label").cast("int").alias("pred_label"))
-    return run_batch(ready.select("image_path", "gt_label", "dataset_name"), done, _features(spark, sf), cache).select("image_path")
+    out = run_batch(ready.select("image_path", "gt_label", "dataset_name"), done, _features(spark, sf), cache)
+    cached = F.col("reasoning") == "cached"
+    return out.select("result_id", "image_path", "is_success", cached.alias("cached"), F.when(cached, F.col("finally_result")).alias("cached_label"), F.col("gt_label").cast("int").alias("gt_label"), "dataset_name")
 
 
 _AGENT = f"""WITH {MANIFEST}, n AS (SELECT image_path, doc_id, doc_id % 7 = 0 AS stuck FROM manifest)
