@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pellucid.functions import kernels
 
-#: Bits per pixel by mode name of image libraries; three channels where unknown.
+#: Bytes per pixel by mode name of image libraries; three where unknown.
 CHANNELS = {"L": 1, "LA": 2, "P": 1, "PA": 2, "RGB": 3, "RGBA": 4, "CMYK": 4, "YCbCr": 3, "HSV": 3, "LAB": 3}
 
 
@@ -66,7 +66,7 @@ def bundle(plane: Column, height: Column, width: Column, groups: tuple[str, ...]
     return run(plane, height, width)
 
 
-def bits_per_pixel(mode: Column) -> Column:
+def bytes_per_pixel(mode: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CHANNELS.items() for x in kv]), mode), F.lit(3))
 
 

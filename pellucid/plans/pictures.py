@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid.functions import kernels
+from pellucid.functions.kernels import DB4
 from pellucid.operators import images
-from pellucid.plans.registry import query
+from pellucid.plans.registry import ORACLE, query
 from pellucid.plans.views import PIXELS, SIDE, planes, table
 
 
-
 def _size() -> tuple[Column, Column]:
     return F.lit(SIDE), F.lit(SIDE)
 
@@ -33,10 +32,10 @@ def array_stats(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("vec_id").agg(F.round(F.avg("g"), 6).alias("mean"), F.round(F.stddev_pop("g"), 6).alias("std"), F.median("g").alias("median"), F.sum("g").alias("total"), F.round(F.var_pop("g"), 6).alias("var"))
 
 
-@query(f"WITH {PIXELS}, b AS (SELECT vec_id, least(CAST(floor(g / 32.0) AS BIGINT), 7) AS bin FROM pixels) SELECT vec_id, bin, count(*) AS n, round(count(*) / (64 + 1e-8), 6) AS share FROM b GROUP BY 1, 2")
+@query(f"WITH {PIXELS}, b AS (SELECT vec_id, least(CAST(floor(g * 8 / 255.0) AS BIGINT), 7) AS bin FROM pixels) SELECT vec_id, bin, count(*) AS n, round(count(*) / (64 + 1e-8), 6) AS share FROM b GROUP BY 1, 2")
 def histogram_fixed(spark: SparkSession, sf: str) -> DataFrame:
-    """Eight bins over 0 to 256, the last closed on the right."""
-    bin_ = (F.least(F.width_bucket(F.col("g").cast("double"), F.lit(0.0), F.lit(256.0), F.lit(8)), F.lit(8)) - 1).alias("bin")
+    """Eight bins over 0 to 255, the last closed on the right."""
+    bin_ = (F.least(F.width_bucket(F.col("g").cast("double"), F.lit(0.0), F.lit(255.0), F.lit(8)), F.lit(8)) - 1).alias("bin")
     p = planes(spark, sf).select("vec_id", F.explode("g").alias("g"))
     return p.groupBy("vec_id", bin_).agg(F.count("*").alias("n"), F.round(F.count("*") / (64 + 1e-8), 6).alias("share"))
 
@@ -60,8 +59,12 @@ def img_laplacian(spark: SparkSession, sf: str) -> DataFrame:
     return planes(spark, sf).select("vec_id", F.round(images.laplacian(F.col("g"), *_size()) + 1e-7, 4).alias("laplacian"))
 
 
-_ANGLES = (0, 45, 90, 135)
-_PAIRS = [(d, a, *kernels.glcm_offsets((d,), (a,))[0]) for d in (1, 2, 3) for a in _ANGLES]
+#: Distance, angle, and the offset in rows and columns that they stand for.
+_PAIRS = [
+    (1, 0, 0, 1), (1, 45, 1, 1), (1, 90, 1, 0), (1, 135, 1, -1),
+    (2, 0, 0, 2), (2, 45, 1, 1), (2, 90, 2, 0), (2, 135, 1, -1),
+    (3, 0, 0, 3), (3, 45, 2, 2), (3, 90, 3, 0), (3, 135, 2, -2),
+]
 _OFFSETS = ", ".join(f"({d}, {a}, {r}, {c})" for d, a, r, c in _PAIRS)
 _GLCM = f"""{PIXELS}, q AS (SELECT vec_id, y, x, CAST(floor(g / 255.0 * 63) AS BIGINT) AS v FROM pixels),
 o(d, a, dr, dc) AS (VALUES {_OFFSETS}),
@@ -128,25 +131,92 @@ def img_dct(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("vec_id", *_rounded(F.col("f"), ["mean", "std", "median", "zeros", "dc", "low", "high", "low_share", "high_share"]))
 
 
-@query()
-def img_lbp(spark: SparkSession, sf: str) -> DataFrame:
-    return planes(spark, sf).select("vec_id", images.features(F.col("g"), *_size(), "lbp").alias("lbp"))
+def _at(r: str, c: str) -> str:
+    return f"(CASE WHEN y + {r} BETWEEN 0 AND 7 AND x + {c} BETWEEN 0 AND 7 THEN gs[CAST((y + {r}) * 8 + x + {c} + 1 AS INTEGER)] ELSE 0 END)"
+
 
+_SAMPLE = f"(1 - dr) * ((1 - dc) * {_at('r0', 'c0')} + dc * {_at('r0', 'c1')}) + dr * ((1 - dc) * {_at('r1', 'c0')} + dc * {_at('r1', 'c1')})"
 
-@query()
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor((CAST(e AS DOUBLE) + 1.0) * 127.5)) AS gs FROM embeddings),
+circle AS (SELECT p, round(-3 * sin(2 * pi() * p / 24), 5) AS r, round(3 * cos(2 * pi() * p / 24), 5) AS c FROM range(24) t(p)),
+o AS (SELECT p, floor(r) AS r0, floor(c) AS c0, ceil(r) AS r1, ceil(c) AS c1, r - floor(r) AS dr, c - floor(c) AS dc FROM circle),
+bits AS (SELECT vec_id, y, x, p, CASE WHEN {_SAMPLE} - gs[CAST(y * 8 + x + 1 AS INTEGER)] >= 0 THEN 1 ELSE 0 END AS bit FROM v, range(8) a(y), range(8) b(x), o),
+turns AS (SELECT *, lag(bit) OVER (PARTITION BY vec_id, y, x ORDER BY p) AS before FROM bits),
+codes AS (SELECT vec_id, CASE WHEN count(*) FILTER (bit <> before) <= 2 THEN sum(bit) ELSE 25 END AS bin FROM turns GROUP BY vec_id, y, x)
+SELECT vec_id, CAST(bin AS INTEGER) AS bin, round(count(*) / (64 + 1e-8), 6) AS share FROM codes GROUP BY 1, 2""")
+def img_lbp(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the local binary patterns that a plane has."""
+    f = planes(spark, sf).select("vec_id", images.features(F.col("g"), *_size(), "lbp").alias("f"))
+    return f.select("vec_id", F.posexplode("f").alias("bin", "share")).filter("share > 0").withColumn("share", F.round("share", 6))
+
+
+#: Eighths of the circle from -pi on, closed on the left; whole gradients lie on their bounds exactly.
+_EIGHTH = """CASE WHEN ry < 0 AND rx < 0 THEN CASE WHEN -ry < -rx THEN 0 ELSE 1 END WHEN ry < 0 THEN CASE WHEN -ry > rx THEN 2 ELSE 3 END
+  WHEN rx > 0 THEN CASE WHEN ry < rx THEN 4 ELSE 5 END WHEN rx = 0 AND ry = 0 THEN 4 WHEN ry > -rx THEN 6 ELSE 7 END"""
+_NEAR = {"w": (0, -1), "e": (0, 1), "n": (-1, 0), "s": (1, 0), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}
+_AROUND = ", ".join(f"COALESCE(max(o.m) FILTER (o.y = c.y + {dy} AND o.x = c.x + {dx}), 0) AS {k}" for k, (dy, dx) in _NEAR.items())
+_EDGES = f"""WITH RECURSIVE {PIXELS},
+k AS (SELECT i - 1 AS dy, j - 1 AS dx FROM range(3) a(i), range(3) b(j)),
+grad AS (SELECT c.vec_id, c.y, c.x, CAST(sum(k.dx * (2 - abs(k.dy)) * n.g) AS BIGINT) AS ex, CAST(sum(k.dy * (2 - abs(k.dx)) * n.g) AS BIGINT) AS ey,
+    CAST(sum(k.dx * (2 - abs(k.dy)) * m.g) AS BIGINT) AS rx, CAST(sum(k.dy * (2 - abs(k.dx)) * m.g) AS BIGINT) AS ry
+  FROM pixels c CROSS JOIN k
+  JOIN pixels n ON n.vec_id = c.vec_id AND n.y = greatest(0, least(7, c.y + k.dy)) AND n.x = greatest(0, least(7, c.x + k.dx))
+  JOIN pixels m ON m.vec_id = c.vec_id AND m.y = 7 - abs(7 - abs(c.y + k.dy)) AND m.x = 7 - abs(7 - abs(c.x + k.dx)) GROUP BY 1, 2, 3),
+mag AS (SELECT *, abs(ex) + abs(ey) AS m FROM grad),
+near AS (SELECT c.vec_id, c.y, c.x, c.ex, c.ey, c.rx, c.ry, c.m, {_AROUND} FROM mag c JOIN mag o ON o.vec_id = c.vec_id AND abs(o.y - c.y) <= 1 AND abs(o.x - c.x) <= 1 GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+thin AS MATERIALIZED (SELECT vec_id, y, x, rx, ry, m FROM near WHERE m > 50 AND CASE WHEN abs(ey) < abs(ex) * CAST(0.41421356237 AS DOUBLE) THEN m > w AND m >= e
+  WHEN abs(ey) > abs(ex) * CAST(2.41421356237 AS DOUBLE) THEN m > n AND m >= s WHEN (ex < 0) = (ey < 0) THEN m > nw AND m > se ELSE m > ne AND m > sw END),
+edge AS (SELECT vec_id, y, x FROM thin WHERE m > 150
+  UNION SELECT t.vec_id, t.y, t.x FROM edge JOIN thin t ON t.vec_id = edge.vec_id AND abs(t.y - edge.y) <= 1 AND abs(t.x - edge.x) <= 1),
+found AS (SELECT vec_id, {_EIGHTH} AS d FROM edge JOIN thin USING (vec_id, y, x))"""
+_DIRECTIONS = ", ".join(f"round(count(d) FILTER (d = {i}) / (count(d) + 1e-8), 6) AS d{i}" for i in range(8))
+
+
+@query(f"{_EDGES} SELECT v.vec_id, round(count(d) / 64, 6) AS density, {_DIRECTIONS} FROM embeddings v LEFT JOIN found ON found.vec_id = v.vec_id GROUP BY 1")
 def img_edge(spark: SparkSession, sf: str) -> DataFrame:
-    return planes(spark, sf).select("vec_id", images.features(F.col("g"), *_size(), "edge").alias("edge"))
+    """The share of edge pixels and of gradient directions there."""
+    f = planes(spark, sf).select("vec_id", images.features(F.col("g"), *_size(), "edge").alias("f"))
+    return f.select("vec_id", *_rounded(F.col("f"), ["density", *(f"d{i}" for i in range(8))]))
+
 
+_TAPS = ", ".join(f"({t}, CAST({lo!r} AS DOUBLE), CAST({hi!r} AS DOUBLE))" for t, (lo, hi) in enumerate(zip(DB4.tolist(), (x * (-1) ** (t + 1) for t, x in enumerate(DB4[::-1].tolist())))))
 
-@query()
+
+@query(f"""WITH {PIXELS}, taps(t, lo, hi) AS (VALUES {_TAPS}),
+terms AS (SELECT b, j, 2 * j + 1 - t AS i, CASE b WHEN 'a' THEN lo ELSE hi END AS w FROM taps, range(7) r(j), (VALUES ('a'), ('d')) k(b)),
+f AS (SELECT b, j, CASE WHEN i < 0 THEN -1 - i WHEN i > 7 THEN 15 - i ELSE i END AS i, sum(w) AS w FROM terms GROUP BY 1, 2, 3),
+coef AS (SELECT vec_id, h.b || v.b AS band, h.j AS hj, v.j AS vj, sum(g * h.w * v.w) AS c FROM pixels JOIN f h ON h.i = x JOIN f v ON v.i = y GROUP BY 1, 2, 3, 4),
+bands AS (SELECT vec_id, band, avg(c) AS mean, stddev_pop(c) AS std, sum(c * c) AS energy FROM coef GROUP BY 1, 2),
+shares AS (SELECT *, energy / (sum(energy) OVER (PARTITION BY vec_id) + 1e-8) AS share FROM bands)
+SELECT vec_id, band, round(mean, 6) AS mean, round(std, 6) AS std, round(energy, 2) AS energy, round(avg(share) OVER p, 6) AS share_mean, round(stddev_pop(share) OVER p, 6) AS share_std FROM shares WINDOW p AS (PARTITION BY vec_id)""")
 def img_wavelet(spark: SparkSession, sf: str) -> DataFrame:
-    return planes(spark, sf).select("vec_id", images.features(F.col("g"), *_size(), "wavelet").alias("wavelet"))
+    """Statistics of the four bands of a plane's one level."""
+    f = planes(spark, sf).select("vec_id", images.features(F.col("g"), *_size(), "wavelet").alias("f"))
+    x = lambda i, n=6: F.round(F.get("f", F.lit(i)), n)
+    bands = [F.struct(F.lit(b).alias("band"), x(3 * k).alias("mean"), x(3 * k + 1).alias("std"), x(3 * k + 2, 2).alias("energy")) for k, b in enumerate(("aa", "ad", "da", "dd"))]
+    return f.select("vec_id", F.explode(F.array(*bands)).alias("b"), x(12).alias("share_mean"), x(13).alias("share_std")).select("vec_id", "b.*", "share_mean", "share_std")
+
+
+def _group(kind: str, columns: list[str]) -> str:
+    return f"SELECT vec_id, '{kind}' AS kind, CAST(unnest(range({len(columns)})) AS INTEGER) AS i, unnest([{', '.join(columns)}]) AS value FROM ({ORACLE['img_' + kind]})"
+
+
+_LBP_GROUP = f"SELECT vec_id, 'lbp' AS kind, bin AS i, share AS value FROM ({ORACLE['img_lbp']})"
+_GLCM_GROUP = f"SELECT vec_id, 'glcm' AS kind, CAST(12 * unnest(range(4)) + (d - 1) * 4 + a // 45 AS INTEGER) AS i, unnest([contrast, dissimilarity, homogeneity, energy]) AS value FROM ({ORACLE['img_glcm']})"
+_FFT_GROUP = _group("fft", ["mean", "std", "median", "low", "middle", "high", *(f"ring{i}" for i in range(16))])
+_DCT_GROUP = _group("dct", ["mean", "std", "median", "zeros", "dc", "low", "high", "low_share", "high_share"])
+_EDGE_GROUP = _group("edge", ["density", *(f"d{i}" for i in range(8))])
 
 
-@query()
+@query(f"SELECT * FROM ({' UNION ALL '.join((_LBP_GROUP, _GLCM_GROUP, _EDGE_GROUP, _FFT_GROUP, _DCT_GROUP))}) WHERE value <> 0")
 def feature_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """All feature groups in one pass."""
-    return planes(spark, sf).select("vec_id", images.bundle(F.col("g"), *_size()).alias("f")).select("vec_id", "f.*")
+    """All feature groups in one pass, a row for each value that is not zero."""
+    p = planes(spark, sf).select("vec_id", images.bundle(F.col("g"), *_size()).alias("f"))
+    digits = lambda kind: lambda v, i: F.when(i < 6, F.round(v, 6)).otherwise(F.round(v, 3)) if kind == "fft" else F.round(v, 6)
+    groups = F.array(*[F.struct(F.lit(k).alias("kind"), F.transform(f"f.{k}", digits(k)).alias("values")) for k in ("lbp", "glcm", "edge", "fft", "dct")])
+    rows = p.select("vec_id", F.explode(groups).alias("g"))
+    return rows.select("vec_id", "g.kind", F.posexplode("g.values").alias("i", "value")).filter("value <> 0")
 
 
 @query(f"""WITH {PIXELS}, s AS (
@@ -189,7 +259,7 @@ def img_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """Documents' lengths as file sizes."""
     mode = F.when(F.col("doc_id") % 3 == 0, "L").when(F.col("doc_id") % 3 == 1, "unknown").otherwise("RGBA")
     w, h = 64 + F.col("doc_id") % 7, 48 + F.col("doc_id") % 5
-    return table(spark, sf, "documents").select("doc_id", w.alias("width"), h.alias("height"), images.compression_ratio(w, h, images.bits_per_pixel(mode), F.col("n_chars")).alias("compression_ratio"))
+    return table(spark, sf, "documents").select("doc_id", w.alias("width"), h.alias("height"), images.compression_ratio(w, h, images.bytes_per_pixel(mode), F.col("n_chars")).alias("compression_ratio"))
 
 
 _MASKED = f"""WITH {PIXELS}, t AS (SELECT vec_id, y, x, g, CASE WHEN (y + x) % 2 = 0 THEN 255 ELSE 255 - g END AS m FROM pixels)"""
