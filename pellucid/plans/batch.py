@@ -10,6 +10,9 @@ from pellucid.operators import evaluation, results
 from pellucid.operators import manifest as man
 from pellucid.plans.registry import query
 from pellucid.plans.views import MANIFEST, VERDICTS, manifest, table, verdicts
+from pellucid.sources import manifests
+from pellucid.sources import results as stored
+from pellucid.sources.files import make_folder, new_folder, write_files
 
 _CONFUSION = f"""WITH {VERDICTS}, c AS (
   SELECT dataset_name, count(*) AS n, count(*) FILTER (gt_label = 1 AND finally_result = 1) AS tp, count(*) FILTER (gt_label = 0 AND finally_result = 1) AS fp,
@@ -77,10 +80,14 @@ def _union(spark: SparkSession, sf: str) -> DataFrame:
 _UNION = f"WITH {_FILES}, u AS (SELECT image_path, {_LABEL}, dataset_name, row_ord, file_ord FROM files)"
 
 
-@query(f"{_UNION} SELECT image_path, gt_label, dataset_name FROM u QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY file_ord DESC, row_ord DESC) = 1")
+@query(f"{_UNION} SELECT '/' || image_path AS image_path, gt_label, dataset_name FROM u QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY file_ord DESC, row_ord DESC) = 1")
 def manifest_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Two manifest files, checked, united, the later row of a path kept."""
-    return man.keep_last(_union(spark, sf), "image_path", "file_ord", "row_ord").select("image_path", "gt_label", "dataset_name")
+    """Two manifests written as CSV and read, checked and united; the later row of a path is kept."""
+    folder = new_folder(spark)
+    given = [f"{folder}/first", f"{folder}/second"]
+    for df, path in zip(_files(spark, sf), given):
+        df.drop("row_ord").write.option("header", True).csv(path)
+    return manifests.read(spark, given, "/")
 
 
 @query(f"{_UNION} SELECT * FROM u")
@@ -175,11 +182,15 @@ def savable(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts(spark, sf).filter(results.savable(F.col("is_success"), F.col("finally_result"))).select("image_path")
 
 
-@query(f"WITH {VERDICTS} SELECT md5(image_path) || '.json' AS result_id, image_path, finally_result, gt_label, dataset_name FROM verdicts WHERE {_SAVABLE}")
+@query(f"WITH {VERDICTS} SELECT md5(image_path) || '.json' AS result_id, image_path, is_success, CAST(finally_result AS INTEGER) AS finally_result, CAST(gt_label AS INTEGER) AS gt_label, dataset_name FROM verdicts WHERE {_SAVABLE}")
 def final_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of the result table."""
+    """The results that may be saved, written in two appends and read back."""
     v = verdicts(spark, sf).filter(results.savable(F.col("is_success"), F.col("finally_result")))
-    return v.select(paths.result_id(F.col("image_path")).alias("result_id"), "image_path", "finally_result", "gt_label", "dataset_name")
+    rows = v.select(paths.result_id(F.col("image_path")).alias("result_id"), "image_path", "is_success", F.lit("why").alias("reasoning"), "finally_result", "gt_label", "dataset_name", "doc_id")
+    folder = new_folder(spark)
+    for part in (0, 1):
+        stored.write(rows.filter(F.col("doc_id") % 2 == part).drop("doc_id"), folder)
+    return stored.read_lines(spark, folder).drop("reasoning")
 
 
 @query(f"WITH {VERDICTS} SELECT v.image_path, v.finally_result, m.gt_label, m.dataset_name FROM verdicts v JOIN manifest m ON v.image_path = m.image_path")
@@ -188,12 +199,15 @@ def label_attach(spark: SparkSession, sf: str) -> DataFrame:
     return results.attach_labels(v, manifest(spark, sf)).select("image_path", "finally_result", "gt_label", "dataset_name")
 
 
-@query(f"WITH {VERDICTS} SELECT image_path, finally_result, gt_label FROM verdicts WHERE finally_result IS NOT NULL")
+@query(f"WITH {VERDICTS} SELECT image_path, CAST(finally_result AS INTEGER) AS finally_result, CAST(gt_label AS INTEGER) AS gt_label FROM verdicts WHERE finally_result IS NOT NULL")
 def results_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Result rows that went through JSON text and back."""
+    """A folder of JSON files, a result in each over several lines, read by result_id's names."""
     v = verdicts(spark, sf).filter("finally_result is not null")
-    doc = F.to_json(F.struct("image_path", "finally_result", "gt_label"))
-    return v.select(F.from_json(doc, "image_path string, finally_result int, gt_label int").alias("r")).select("r.*")
+    doc = F.to_json(F.struct("image_path", "finally_result", "gt_label"), {"pretty": "true"})
+    folder = stored.final_output(new_folder(spark))
+    make_folder(spark, folder)
+    write_files(v.select(paths.result_id(F.col("image_path")).alias("name"), F.encode(doc, "UTF-8").alias("content")), folder)
+    return stored.read(spark, folder).select("image_path", "finally_result", "gt_label")
 
 
 def _cache(spark: SparkSession, sf: str, part: int) -> DataFrame:
@@ -244,14 +258,16 @@ def cache_miss(spark: SparkSession, sf: str) -> DataFrame:
     return hits.unionByName(misses.select("id", F.lit(True).alias("generated"), F.concat(F.lit("generated "), F.col("id").cast("string")).alias("profile")))
 
 
-@query(f"WITH {MANIFEST} SELECT image_path, dataset_name AS observations, gt_label AS pred_label FROM manifest")
+@query(f"WITH {MANIFEST} SELECT image_path, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE dataset_name END AS observations, CAST(gt_label AS INTEGER) AS pred_label FROM manifest")
 def profile_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles kept as JSON text, as columns; text that is no object gives nothing."""
-    doc = F.to_json(F.struct(F.col("dataset_name").alias("observations"), F.lit("").alias("detected_anomalies"), F.col("gt_label").alias("pred_label")))
+    """The newest snapshot of a cache that was saved twice; rows without a path are not kept."""
     m = manifest(spark, sf)
-    rows = m.select("image_path", doc.alias("doc")).unionByName(m.select("image_path", F.lit("[]").alias("doc")))
-    p = rows.filter(F.startswith(F.schema_of_variant(F.parse_json("doc")), F.lit("OBJECT"))).select("image_path", F.from_json("doc", "observations string, pred_label int").alias("p"))
-    return p.select("image_path", "p.*")
+    blank = F.lit("")
+    rows = m.select("doc_id", "image_path", F.col("dataset_name").alias("observations"), blank.alias("detected_anomalies"), blank.alias("limitations"), F.col("gt_label").cast("int").alias("pred_label"), F.lit(1).cast("long").alias("version"))
+    root = new_folder(spark)
+    stored.save_profiles(spark, root, rows.drop("doc_id").unionByName(rows.drop("doc_id").withColumn("image_path", blank)))
+    newer = rows.filter("doc_id % 2 = 0").drop("doc_id").withColumn("observations", F.lit("again")).withColumn("version", F.lit(2).cast("long"))
+    return stored.save_profiles(spark, root, newer).select("image_path", "observations", "pred_label")
 
 
 @query(f"WITH {MANIFEST} SELECT image_path, sha256(image_path || ':0') AS session_key FROM manifest")

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from pellucid.functions import paths
 from pellucid.operators import agent, evaluation, images, reasoner, results
-from pellucid.plans.registry import query
+from pellucid.plans import pictures  # noqa: F401  (its SQL is part of this module's)
+from pellucid.plans.registry import ORACLE, query
 from pellucid.plans.views import MANIFEST, manifest, planes, table
 from pellucid.sources import images as pics
+from pellucid.sources.files import new_folder, write_files
 
 
 def run_batch(manifest_rows: DataFrame, done: DataFrame, features: DataFrame, cache: DataFrame, make: Callable[[], reasoner.Reasoner] = reasoner.offline) -> DataFrame:
@@ -91,36 +93,45 @@ def img_encode(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("vec_id", back("data").alias("r")).select("vec_id", "r.*")
 
 
-@query()
+@query("SELECT 'v' || vec_id || '.png' AS name, 8 AS height, 8 AS width, CAST(list_sum(list_transform(embedding, lambda e: floor((CAST(e AS DOUBLE) + 1.0) * 127.5))) AS BIGINT) AS total, CAST(NULL AS VARCHAR) AS error FROM embeddings")
 def image_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Encoded planes as an image relation: path, length, format."""
-    content = F.unbase64(pics.encode(F.col("g"), F.lit(8), F.lit(8), (16, 16)))
-    path = F.concat(F.lit("images/v"), F.col("vec_id").cast("string"), F.lit(".png"))
-    return planes(spark, sf).select(path.alias("path"), F.length(content).alias("length"), paths.format_of(path).alias("format"))
+    """A folder of PNG files, one for each plane, beside a text file: listed and decoded."""
+    folder = new_folder(spark)
+    name = F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit(".png"))
+    write_files(planes(spark, sf).select(name.alias("name"), F.unbase64(pics.encode(F.col("g"), F.lit(8), F.lit(8))).alias("content")), folder)
+    write_files(spark.createDataFrame([("notes.txt", b"no image")], "name string, content binary"), folder)
+    listed = pics.list_images(spark, folder).select(pics.same_uri(F.col("path")).alias("path"))
+    total = F.aggregate(pics.luma_plane(F.col("data"), F.col("channels")), F.lit(0).cast("long"), lambda a, x: a + x)
+    got = listed.join(pics.decode(spark, folder), "path")
+    return got.select(F.element_at(F.split("path", "/"), -1).alias("name"), "height", "width", total.alias("total"), "error")
 
 
-@query("SELECT doc_id, source || '/' || doc_id || suffix AS path FROM documents, (VALUES ('.jpg'), ('.JPG'), ('.Webp'), ('.tif'), ('.PNG')) AS s(suffix) WHERE suffix IN ('.jpg', '.JPG', '.PNG')")
-def image_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Names with the suffix of an image, in lower or upper case."""
-    names = _names(table(spark, sf, "documents"))
-    suffix = F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1)
-    known = [x for s in pics.SUFFIXES for x in (s, s.upper())]
-    return names.filter(suffix.isin(known))
+_SUFFIXES = (".jpg", ".JPG", ".Webp", ".tif", ".PNG")
 
 
-def _names(d: DataFrame) -> DataFrame:
-    rows = d.select("doc_id", "source", F.explode(F.array(*[F.lit(s) for s in (".jpg", ".JPG", ".Webp", ".tif", ".PNG")])).alias("suffix"))
-    return rows.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), "suffix").alias("path"))
+@query("SELECT 'b' || item_id || suffix AS name, octet_length(encode(text)) AS length FROM benchmark, (VALUES ('.jpg'), ('.JPG'), ('.PNG')) AS s(suffix)")
+def image_list(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder's files with the suffix of an image, in lower or upper case, that are not opened."""
+    folder = new_folder(spark)
+    b = table(spark, sf, "benchmark").select("item_id", "text", F.explode(F.array(*[F.lit(s) for s in _SUFFIXES])).alias("suffix"))
+    write_files(b.select(F.concat(F.lit("b"), F.col("item_id").cast("string"), "suffix").alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
+    return pics.list_images(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-@query()
+@query(f"SELECT vec_id, i, round(value, 6) AS value FROM ({ORACLE['feature_bundle']}) WHERE kind = 'dct'")
 def feature_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts with the features of every plane."""
-    p = planes(spark, sf).select("vec_id", images.bundle(F.col("g"), F.lit(8), F.lit(8), ("fft", "dct")).alias("f"))
-    return p.select("vec_id", reasoner.prompt(F.col("f")).alias("prompt"))
+    """Prompts with the features of every plane, read back from their JSON."""
+    p = planes(spark, sf).select("vec_id", images.bundle(F.col("g"), F.lit(8), F.lit(8), ("dct",)).alias("f"))
+    prompts = p.select("vec_id", reasoner.prompt(F.col("f")).alias("prompt"))
+    doc = F.from_json(F.regexp_replace("prompt", "^Features: ", ""), "dct array<double>")
+    rows = prompts.select("vec_id", F.posexplode(doc["dct"]).alias("i", "value"))
+    return rows.withColumn("value", F.round("value", 6)).filter("value <> 0")
 
 
-@query()
+_AGAIN = """text || chr(10) || chr(10) || 'Your reply was not valid (not JSON at line 1, column 2: Expecting property name enclosed in double quotes). Reply again with the JSON object only.'"""
+
+
+@query(f"SELECT 'b' || item_id AS image_path, left(said, 40) AS observations, '' AS detected_anomalies, 'rule' AS limitations, CAST(length(said) % 2 AS INTEGER) AS pred_label, CAST(NULL AS VARCHAR) AS error, 2 AS tries FROM (SELECT item_id, {_AGAIN} AS said FROM benchmark)")
 def retry_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """A reasoner whose first reply is never valid: what it takes to get a profile."""
 
@@ -144,20 +155,19 @@ def human_message(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", parts.alias("m")).select("doc_id", F.get("m", F.lit(0))["kind"].alias("first"), F.size("m").alias("parts"))
 
 
-@query("SELECT doc_id, doc_id % 3 <> 0 AS ok, CASE WHEN doc_id % 3 = 0 THEN 'ValueError' END AS error FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS image_path, CASE WHEN doc_id % 3 <> 0 THEN CAST(length(CAST(doc_id AS VARCHAR)) % 2 AS INTEGER) END AS pred_label, CASE WHEN doc_id % 3 = 0 THEN 'RuntimeError: every third' END AS error, 1 AS tries FROM documents")
 def group_iter(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that fail become rows with an error."""
-
-    @F.pandas_udf("ok boolean, error string")
-    def risky(ids: pd.Series) -> pd.DataFrame:
-        out = []
-        for i in ids:
-            try:
-                if i % 3 == 0:
-                    raise ValueError("every third")
-                out.append((True, None))
-            except Exception as e:
-                out.append((False, type(e).__name__))
-        return pd.DataFrame(out, columns=["ok", "error"])
-
-    return table(spark, sf, "documents").select("doc_id", risky("doc_id").alias("r")).select("doc_id", "r.*")
+    """Rows that the reasoner fails at become rows with an error, and stop no others."""
+
+    def risky() -> reasoner.Reasoner:
+        fine = reasoner.offline()
+
+        def reply(prompt: str) -> str:
+            if int(prompt) % 3 == 0:
+                raise RuntimeError("every third")
+            return fine(prompt)
+
+        return reply
+
+    n = F.col("doc_id").cast("string")
+    return reasoner.profiles(table(spark, sf, "documents").select(n.alias("image_path"), n.alias("prompt")), risky).select("image_path", "pred_label", "error", "tries")

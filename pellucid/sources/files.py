@@ -21,7 +21,12 @@ def new_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_base()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/pellucid-{uuid.uuid4().hex}")
+    return make_folder(spark, f"{base}/pellucid-{uuid.uuid4().hex}")
+
+
+def make_folder(spark: SparkSession, folder: str) -> str:
+    """The folder, made if there is none, as a full URI."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     return fs.makeQualified(path).toString()
