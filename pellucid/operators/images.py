@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pellucid.config import feature_settings
 from pellucid.functions import kernels
+from pellucid.operators.plugins import Registry, default_features
 
 #: Bytes per pixel by mode name of image libraries; three where unknown.
 CHANNELS = {"L": 1, "LA": 2, "P": 1, "PA": 2, "RGB": 3, "RGBA": 4, "CMYK": 4, "YCbCr": 3, "HSV": 3, "LAB": 3}
@@ -54,14 +56,35 @@ def laplacian(plane: Column, height: Column, width: Column) -> Column:
     return run(plane, height, width)
 
 
-def bundle(plane: Column, height: Column, width: Column, groups: tuple[str, ...] = ("lbp", "glcm", "edge", "fft", "dct")) -> Column:
-    """A struct of the chosen feature groups, computed in one pass; groups that are left out never run."""
-    ddl = ", ".join(f"{g} array<double>" for g in groups)
-
-    @F.pandas_udf(ddl)
+def kernel_options(settings: dict) -> dict[str, dict]:
+    """What checked feature settings mean to each kernel."""
+    return {
+        "fft": {"bins": settings["radial_bins"]},
+        "dct": {"block": settings["dct_block"], "most": settings["max_dct_blocks"]},
+        "wavelet": {"levels": settings["wavelet_levels"]},
+    }
+
+
+def bundle(plane: Column, height: Column, width: Column, groups: tuple[str, ...] | None = None, settings: dict | None = None, registry: Registry | None = None, switches: dict[str, bool] | None = None) -> Column:
+    """A struct of the chosen feature groups, computed in one pass; groups that are left out or switched off never run.
+
+    settings: as config.feature_settings takes them; registry: extractors by name, the built-in ones if not given. A
+    registered extractor takes a stack of planes and gives a row of numbers for each.
+    """
+    checked = feature_settings(settings)
+    known = (registry or default_features()).enabled(switches)
+    chosen = [g for g in groups or checked["groups"] if g in known or switches is None or switches.get(g, True)]
+    if missing := [g for g in chosen if g not in known]:
+        raise ValueError(f"no such feature groups: {', '.join(missing)}")
+    if not chosen:
+        raise ValueError("all feature groups are switched off")
+    options = kernel_options(checked)
+    run_of = {g: (known[g], options.get(g, {}) if known[g] is kernels.KERNELS.get(g) else {}) for g in chosen}
+
+    @F.pandas_udf(", ".join(f"`{g}` array<double>" for g in chosen))
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for v, h, w in parts:
-            yield pd.DataFrame({g: pd.Series(_per_shape(v, h, w, kernels.KERNELS[g]), dtype=object) for g in groups})
+            yield pd.DataFrame({g: pd.Series(_per_shape(v, h, w, lambda x, k=k, o=o: k(x, **o)), dtype=object) for g, (k, o) in run_of.items()})
 
     return run(plane, height, width)
 

@@ -11,6 +11,7 @@ from pellucid.operators import messages as msg
 from pellucid.operators import stages
 from pellucid.plans.registry import query
 from pellucid.plans.views import MESSAGES, messages, table
+from pellucid.sources.files import new_folder, write_files
 
 _IS_TOOL = "role = 'tool' and name = 'semantic_context_extraction'"
 _HAS_AI = "role = 'ai' and content <> ''"
@@ -185,8 +186,12 @@ def detail_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_DETAIL.replace("conv_id, count(*)", "md5(CAST(conv_id AS VARCHAR)) || '.json' AS result_id, count(*)").replace("GROUP BY 1", "GROUP BY conv_id"))
 def detail_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of the detail table."""
-    return detail_messages(spark, sf).select(F.concat(F.md5(F.col("conv_id").cast("string")), F.lit(".json")).alias("result_id"), "n", "detail")
+    """The detail files, one for each conversation, written and read back."""
+    rows = detail_messages(spark, sf).select(F.concat(F.md5(F.col("conv_id").cast("string")), F.lit(".json")).alias("result_id"), "n", "detail")
+    folder = new_folder(spark)
+    write_files(rows.select(F.col("result_id").alias("name"), F.encode(F.to_json(F.struct("n", "detail")), "UTF-8").alias("content")), folder)
+    got = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema("n long, detail string").json(folder)
+    return got.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("result_id"), "n", "detail")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4096) || '...' ELSE text END AS text FROM documents")
@@ -270,12 +275,14 @@ def history_slice(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).select("conv_id", F.array_join(msg.middle(F.col("t")), ",").alias("middle"))
 
 
-@query("SELECT doc_id, array_to_string(['a', 'role', 'b_2'], ',') AS vars FROM documents")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a,role,b_2' WHEN 1 THEN '' ELSE 'v' || doc_id || ',source' END AS vars FROM documents WHERE text IS NOT NULL")
 def template_vars(spark: SparkSession, sf: str) -> DataFrame:
-    """The variables of a prompt template with a document in it."""
+    """The variables of prompt templates with a document in them."""
     words = F.regexp_replace("text", r"[{}]", "")
-    template = F.concat(F.lit("You are {a}. {role.name} "), words, F.lit(" {b_2[0]} {a}"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(text.template_variables(template), ",").alias("vars"))
+    full = F.concat(F.lit("You are {a}. {role.name} "), words, F.lit(" {b_2[0]} {a}"))
+    named = F.concat(F.lit("{v"), F.col("doc_id").cast("string"), F.lit("} "), words, F.lit(" {9bad} {source[0]}"))
+    template = F.when(F.col("doc_id") % 3 == 0, full).when(F.col("doc_id") % 3 == 1, words).otherwise(named)
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.array_join(text.template_variables(template), ",").alias("vars"))
 
 
 @query("SELECT doc_id, list_extract(string_split(CASE WHEN doc_id % 2 = 0 THEN 'head ### system ###' || text ELSE text END, '###'), -1) AS section FROM documents")

@@ -21,7 +21,7 @@ def same_uri(c: Column) -> Column:
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
-    """path and length of a folder's images, not of folders below; no file is opened."""
+    """path and length of a folder's images, not of folders below; no file is opened. Spark leaves out files without a byte."""
     names = "{" + ",".join(f"*{s},*{s.upper()}" for s in SUFFIXES) + "}"
     return spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", False).load(folder).select("path", "length")
 

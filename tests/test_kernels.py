@@ -82,3 +82,42 @@ def test_png_round_trip(spark, tmp_path):
 
     plane = images.decode(spark, str(tmp_path)).filter("path like '%a.png'").select(images.luma_plane(F.col("data"), F.col("channels")).alias("g")).first().g
     assert plane == g.reshape(-1).tolist()
+
+
+def test_bundle_takes_settings_and_registered_extractors(spark):
+    from pyspark.sql import functions as F
+
+    from pellucid.operators import images, plugins
+
+    g = np.random.default_rng(3).integers(0, 256, (2, 64, 48))
+    rows = [(g[0].ravel().tolist(), 64, 48), (g[1].ravel().tolist(), 64, 48), (None, 64, 48), ([1, 2], 64, 48)]
+    df = spark.createDataFrame(rows, "g array<int>, h int, w int")
+    known = plugins.default_features()
+    known.register("mean", lambda x: x.mean(axis=(1, 2))[:, None])
+    made = images.bundle(F.col("g"), F.col("h"), F.col("w"), ("fft", "wavelet", "mean", "lbp"), {"radial_bins": 4, "wavelet_levels": 2}, known, {"lbp": False})
+    got = [r.f for r in df.select(made.alias("f")).collect()]
+    assert got[0].__fields__ == ["fft", "wavelet", "mean"]
+    for f, x in zip(got, g):
+        assert len(f.fft) == 6 + 4 and f.mean == [pytest.approx(x.mean())]
+        assert len(f.wavelet) == 3 * (1 + 3 * 2) + 2
+    assert all(v is None for f in got[2:] for v in f)
+    with pytest.raises(ValueError):
+        images.bundle(F.col("g"), F.col("h"), F.col("w"), ("nothing",))
+    with pytest.raises(ValueError):
+        images.bundle(F.col("g"), F.col("h"), F.col("w"), ("fft",), switches={"fft": False})
+
+
+def test_files_are_whole_and_written_again(spark):
+    from pyarrow.fs import FileSelector, FileSystem
+
+    from pellucid.sources.files import new_folder, write_files
+
+    folder = new_folder(spark)
+    df = spark.createDataFrame([("a.txt", bytearray(b"x")), ("b.txt", bytearray(b""))], "name string, content binary")
+    for _ in range(2):
+        assert write_files(df.repartition(2), folder) == 2
+    fs, base = FileSystem.from_uri(folder)
+    got = [f for f in fs.get_file_info(FileSelector(base)) if not f.base_name.startswith(".")]
+    assert sorted((f.base_name, f.size) for f in got) == [("a.txt", 1), ("b.txt", 0)]
+    assert new_folder(spark) != folder
+    assert write_files(df.limit(0), folder) == 0
