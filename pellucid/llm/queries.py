@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid.llm import binary, chaining, langid, license, media, mixing, packing, simhash, topk, wordpiece
+from pellucid.llm import binary, chaining, interaction, langid, license, media, mixing, packing, simhash, topk, wordpiece
 from pellucid.llm.common import Scratch, table
 
 
@@ -59,6 +59,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_ids(*binary.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, Scratch(spark)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,5 +76,6 @@ QUERIES = {
         op8_media_columns,
         op9_substring_dedup,
         op10_token_ids,
+        op11_filter_audit,
     )
 }

@@ -30,3 +30,22 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 20""",
 }
+
+_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+
+ORACLE["op11_filter_audit"] = f"""
+WITH w AS (SELECT doc_id, part, t, {_WORDS} AS w FROM (SELECT doc_id, COALESCE(source, '') AS part, COALESCE(text, '') AS t FROM documents)),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+g AS (SELECT part, fails, count(*) AS n, sum(COALESCE(good, 0)) AS good, sum(COALESCE(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, f, COALESCE(sum(n) FILTER (translate(fails, earlier || f, '') = fails), 0) AS kept,
+    COALESCE(sum(n) FILTER (gone), 0) AS removed, COALESCE(sum(n) FILTER (contains(fails, f) AND NOT gone), 0) AS redundant, COALESCE(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    COALESCE(sum(good) FILTER (gone), 0) AS good_lost, COALESCE(sum(toxic) FILTER (gone), 0) AS toxic_lost
+  FROM (SELECT *, contains(fails, f) AND translate(fails, earlier, '') = fails AS gone FROM g, s) GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
