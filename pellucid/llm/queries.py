@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid.llm import binary, chaining, interaction, langid, license, media, mixing, packing, simhash, topk, wordpiece
-from pellucid.llm.common import Scratch, table
+from pellucid.llm import binary, chaining, interaction, langid, license, linededup, media, mixing, packing, simhash, topk, wordpiece
+from pellucid.llm.common import Scratch, shared_dir, table
 
 
 def vocabulary(name: str) -> str:
@@ -63,6 +63,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = linededup.LineIndex(spark, shared_dir(spark)).insert(docs).clean(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,5 +83,6 @@ QUERIES = {
         op9_substring_dedup,
         op10_token_ids,
         op11_filter_audit,
+        op13_line_dedup,
     )
 }
