@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid.llm import binary, chaining, interaction, langid, license, linededup, media, mixing, packing, simhash, topk, wordpiece
+from pellucid.llm import binary, chaining, collocations, interaction, langid, license, linededup, media, mixing, packing, simhash, topk, wordpiece
 from pellucid.llm.common import Scratch, shared_dir, table
 
 
@@ -63,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = linededup.LineIndex(spark, shared_dir(spark)).insert(docs).clean(docs)
@@ -83,6 +87,7 @@ QUERIES = {
         op9_substring_dedup,
         op10_token_ids,
         op11_filter_audit,
+        op12_collocations,
         op13_line_dedup,
     )
 }

@@ -57,3 +57,22 @@ k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) ||
 gone AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY 1 HAVING count(DISTINCT r) >= 10),
 m AS (SELECT k.*, gone.key IS NOT NULL AS dropped FROM k LEFT JOIN gone ON k.key = gone.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY r, doc_id"""
+
+ORACLE["op12_collocations"] = r"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, range(1, 6) s(size) WHERE len(w) >= size)),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100 OR size = 1),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+inner_ AS (SELECT DISTINCT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, a FROM (
+    SELECT lang, w, a, k, unnest(range(1, size - k + 2)) AS i FROM c, range(2, 5) s(k) WHERE k < size)),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a)),
+cuts AS (SELECT kept.lang, kept.phrase, a, k, h.f AS l, t.f AS r, n.n, 1000 * a::HUGEINT * n.n // (h.f::HUGEINT * t.f::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept) kept
+  JOIN f h ON h.lang = kept.lang AND h.phrase = array_to_string(kept.w[1:k], ' ') JOIN f t ON t.lang = kept.lang AND t.phrase = array_to_string(kept.w[k + 1:kept.size], ' ') JOIN n ON n.lang = kept.lang),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low) WHERE rank <= 2000"""
