@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 
+#: What is added to divisors, limits of the frequency bands, and the seed and number of sampled cosine blocks.
 EPS = 1e-8
+BANDS = ((0.0, 0.15), (0.15, 0.35), (0.35, 1.0))
+SEED, BLOCKS = 42, 512
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
@@ -23,12 +26,11 @@ def laplacian_variance(g: np.ndarray) -> np.ndarray:
     return out.var(axis=(1, 2))
 
 
-def lbp_histogram(g: np.ndarray, points: int = 24, radius: int = 3) -> np.ndarray:
-    """Uniform local binary patterns: bilinear samples on a circle, zero outside; points + 2 bins."""
-    n, h, w = g.shape
-    img = np.zeros((n, h + 2 * radius + 2, w + 2 * radius + 2))
+def lbp_codes(img: np.ndarray, points: int, radius: int) -> np.ndarray:
+    """The uniform local binary pattern of every pixel of planes that have a border of radius + 1: bilinear samples on a circle."""
     o = radius + 1
-    img[:, o : o + h, o : o + w] = g
+    n, h, w = img.shape[0], img.shape[1] - 2 * o, img.shape[2] - 2 * o
+    g = img[:, o : o + h, o : o + w]
     angle = 2 * np.pi * np.arange(points) / points
     rows, cols = np.round(-radius * np.sin(angle), 5), np.round(radius * np.cos(angle), 5)
     bits = np.empty((points, n, h, w), bool)
@@ -44,7 +46,13 @@ def lbp_histogram(g: np.ndarray, points: int = 24, radius: int = 3) -> np.ndarra
         low = (1 - dc) * at(r1, c0) + dc * at(r1, c1)
         bits[p] = (1 - dr) * top + dr * low - g >= 0
     changes = (bits[1:] != bits[:-1]).sum(0)
-    code = np.where(changes <= 2, bits.sum(0), points + 1).reshape(n, -1)
+    return np.where(changes <= 2, bits.sum(0), points + 1)
+
+
+def lbp_histogram(g: np.ndarray, points: int = 24, radius: int = 3) -> np.ndarray:
+    """Shares of uniform local binary patterns, zero outside the plane; points + 2 bins."""
+    o = radius + 1
+    code = lbp_codes(np.pad(g.astype(np.float64), ((0, 0), (o, o), (o, o))), points, radius).reshape(len(g), -1)
     hist = np.stack([np.bincount(c, minlength=points + 2) for c in code]).astype(float)
     return hist / (hist.sum(1, keepdims=True) + EPS)
 
@@ -80,22 +88,28 @@ def sobel(g: np.ndarray, border: str = "reflect") -> tuple[np.ndarray, np.ndarra
     return smooth[:, :, 2:] - smooth[:, :, :-2], across[:, 2:] - across[:, :-2]
 
 
-def canny(g: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
-    """Edge masks: gradient sums of absolute values, thinning in four directions, hysteresis over eight neighbours."""
-    dx, dy = sobel(g, "edge")
-    mag = np.abs(dx) + np.abs(dy)
-    m = np.pad(mag, ((0, 0), (1, 1), (1, 1)))
+def thinned(m: np.ndarray, dx: np.ndarray, dy: np.ndarray, low: float) -> np.ndarray:
+    """Pixels above ``low`` that are no less than those across the edge; m: magnitudes, with a border of one."""
+    h, w = dx.shape[1:]
 
     def at(r: int, c: int) -> np.ndarray:
-        return m[:, 1 + r : 1 + r + g.shape[1], 1 + c : 1 + c + g.shape[2]]
+        return m[:, 1 + r : 1 + r + h, 1 + c : 1 + c + w]
 
+    mag = at(0, 0)
     x, y = np.abs(dx), np.abs(dy)
     flat, steep = y < x * 0.41421356237, y > x * 2.41421356237
     rising = (dx < 0) == (dy < 0)
     across = (mag > at(0, -1)) & (mag >= at(0, 1))
     down = (mag > at(-1, 0)) & (mag >= at(1, 0))
     diag = np.where(rising, (mag > at(-1, -1)) & (mag > at(1, 1)), (mag > at(-1, 1)) & (mag > at(1, -1)))
-    thin = (mag > low) & np.where(flat, across, np.where(steep, down, diag))
+    return (mag > low) & np.where(flat, across, np.where(steep, down, diag))
+
+
+def canny(g: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Edge masks: gradient sums of absolute values, thinning in four directions, hysteresis over eight neighbours."""
+    dx, dy = sobel(g, "edge")
+    mag = np.abs(dx) + np.abs(dy)
+    thin = thinned(np.pad(mag, ((0, 0), (1, 1), (1, 1))), dx, dy, low)
     edge = thin & (mag > high)
     while True:
         p = np.pad(edge, ((0, 0), (1, 1), (1, 1)))
@@ -133,7 +147,7 @@ def fft_features(g: np.ndarray, bins: int = 16) -> np.ndarray:
     y, x = np.ogrid[:h, :w]
     radius = np.sqrt((x - w // 2) ** 2 + (y - h // 2) ** 2)
     top = float(max(1, min(h // 2, w // 2)))
-    bands = [power[:, (radius >= lo * top) & (radius < hi * top)].sum(1) / total for lo, hi in ((0.0, 0.15), (0.15, 0.35), (0.35, 1.0))]
+    bands = [power[:, (radius >= lo * top) & (radius < hi * top)].sum(1) / total for lo, hi in BANDS]
     rings = []
     for i in range(bins):
         mask = (radius >= i / bins * top) & (radius < (i + 1) / bins * top)
@@ -149,7 +163,7 @@ def dct_matrix(size: int) -> np.ndarray:
     return c
 
 
-def dct_features(g: np.ndarray, block: int = 8, most: int = 512) -> np.ndarray:
+def dct_features(g: np.ndarray, block: int = 8, most: int = BLOCKS) -> np.ndarray:
     """Nine statistics of the orthonormal cosine coefficients of blocks; larger images give a fixed sample of blocks."""
     n, h, w = g.shape
     pad = ((0, 0), (0, (block - h % block) % block), (0, (block - w % block) % block))
@@ -157,7 +171,7 @@ def dct_features(g: np.ndarray, block: int = 8, most: int = 512) -> np.ndarray:
     rows, cols = p.shape[1] // block, p.shape[2] // block
     blocks = p.reshape(n, rows, block, cols, block).transpose(0, 1, 3, 2, 4).reshape(n, rows * cols, block, block)
     if rows * cols > most:
-        blocks = blocks[:, np.random.default_rng(42).choice(rows * cols, size=most, replace=False)]
+        blocks = blocks[:, np.random.default_rng(SEED).choice(rows * cols, size=most, replace=False)]
     c = dct_matrix(block)
     coef = (c @ blocks @ c.T).reshape(n, -1, block * block)
     size, flat = np.abs(coef), coef.reshape(n, -1)
@@ -174,8 +188,16 @@ def dct_features(g: np.ndarray, block: int = 8, most: int = 512) -> np.ndarray:
 #: The low-pass decomposition filter of the Daubechies wavelet with four vanishing moments.
 DB4 = np.array([-0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.18703481171888114, -0.02798376941698385, 0.6308807679295904, 0.7148465705525415, 0.23037781330885523])
 
+HIGH = DB4[::-1] * np.where(np.arange(8) % 2, 1.0, -1.0)
+
+
+def wavelet_levels(height: int, width: int, levels: int) -> int:
+    """The levels that a plane has room for; one at least."""
+    side = min(height, width)
+    return max(1, min(levels, int(np.floor(np.log2(side / (len(DB4) - 1)))) if side >= len(DB4) - 1 else 0))
+
 
-def _analyse(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+def analyse(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     """Filters the last axis with symmetric borders and keeps every second value."""
     n = len(taps) - 1
     p = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(n, n)], mode="symmetric")
@@ -186,12 +208,11 @@ def _analyse(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
 def wavelet_features(g: np.ndarray, levels: int = 3) -> np.ndarray:
     """Mean, deviation and energy of every subband, then mean and deviation of the energy shares."""
     n, h, w = g.shape
-    low, high = DB4, DB4[::-1] * np.where(np.arange(8) % 2, 1.0, -1.0)
-    fit = int(np.floor(np.log2(min(h, w) / (len(DB4) - 1)))) if min(h, w) >= len(DB4) - 1 else 0
+    low, high = DB4, HIGH
     approx, details = g.astype(np.float64), []
-    for _ in range(max(1, min(levels, fit))):
-        by_row = {k: _analyse(approx, t) for k, t in (("a", low), ("d", high))}
-        both = {k + m: np.swapaxes(_analyse(np.swapaxes(v, 1, 2), t), 1, 2) for k, v in by_row.items() for m, t in (("a", low), ("d", high))}
+    for _ in range(wavelet_levels(h, w, levels)):
+        by_row = {k: analyse(approx, t) for k, t in (("a", low), ("d", high))}
+        both = {k + m: np.swapaxes(analyse(np.swapaxes(v, 1, 2), t), 1, 2) for k, v in by_row.items() for m, t in (("a", low), ("d", high))}
         approx = both["aa"]
         details.insert(0, [both["ad"], both["da"], both["dd"]])
     bands = [approx, *(b for level in details for b in level)]

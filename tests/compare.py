@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def connect(sf: str = SF):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"max_temp_directory_size": "2GB"})
     for f in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     return con
