@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pellucid.functions import paths
@@ -23,10 +23,10 @@ def attach_labels(verdicts: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """The newest valid row of each key; at equal order, rows of new win."""
+    """The newest valid row of each key; at equal order, rows of new win. Versions of one key are reduced before they are shuffled."""
+    columns = old.columns
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_new")
+    return both.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, "_new")).alias("_row")).select("_row.*")
 
 
 def valid_profile(profile: Column) -> Column:

@@ -10,7 +10,7 @@ from pellucid.operators import evaluation, results
 from pellucid.operators import manifest as man
 from pellucid.plans.registry import query
 from pellucid.plans.views import MANIFEST, VERDICTS, manifest, table, verdicts
-from pellucid.sources import manifests
+from pellucid.sources import manifests, profiles
 from pellucid.sources import results as stored
 from pellucid.sources.files import make_folder, new_folder, write_files
 
@@ -210,6 +210,17 @@ def results_scan(spark: SparkSession, sf: str) -> DataFrame:
     return stored.read(spark, folder).select("image_path", "finally_result", "gt_label")
 
 
+#: Buckets of the queries' caches.
+_BUCKETS = 32
+
+
+def _saved(rows: DataFrame) -> DataFrame:
+    """Rows as profiles; columns that they lack are blank."""
+    blank = F.lit("")
+    have = {"observations": blank, "detected_anomalies": blank, "limitations": blank, "pred_label": F.lit(0), "version": F.lit(1)}
+    return rows.select("image_path", *[(F.col(c) if c in rows.columns else v).alias(c) for c, v in have.items()]).withColumns({"pred_label": F.col("pred_label").cast("int"), "version": F.col("version").cast("long")})
+
+
 def _cache(spark: SparkSession, sf: str, part: int) -> DataFrame:
     m = manifest(spark, sf).filter(F.col("doc_id") % 4 >= part)
     return m.select("image_path", (F.col("doc_id") + part * 1000).alias("version"), F.concat(F.lit(f"seen {part} "), "dataset_name").alias("observations"), F.col("gt_label").alias("pred_label"))
@@ -220,7 +231,11 @@ def _cache(spark: SparkSession, sf: str, part: int) -> DataFrame:
   UNION ALL SELECT image_path, doc_id + 2000, 'seen 2 ' || dataset_name, gt_label, 2 FROM manifest WHERE doc_id % 4 >= 2)
 SELECT image_path, version, observations, pred_label FROM c QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY version DESC, p DESC) = 1""")
 def profile_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return results.upsert(_cache(spark, sf, 0), _cache(spark, sf, 2), "image_path", "version")
+    """The state of a cache after three saves, of which the last is a replay."""
+    root = new_folder(spark)
+    for part in (0, 2, 2):
+        state = profiles.save(spark, root, _saved(_cache(spark, sf, part)), _BUCKETS)
+    return state.select("image_path", "version", "observations", "pred_label")
 
 
 _PROFILES = f"""{MANIFEST}, profiles AS (
@@ -249,25 +264,35 @@ def profile_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return results.lookup(_wanted(spark, sf), _profiles(spark, sf))
 
 
+@query(f"{_LOOKUP} SELECT id, key, profile FROM found WHERE id % 50 = 0")
+def cached_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups in a stored cache; buckets of no wanted key are not read."""
+    root = new_folder(spark)
+    profiles.save(spark, root, _saved(_profiles(spark, sf).select(F.col("key").alias("image_path"), F.col("profile").alias("observations"))), _BUCKETS)
+    return profiles.lookup(spark, root, _wanted(spark, sf).filter("id % 50 = 0")).select("id", "key", F.col("profile.observations").alias("profile"))
+
+
 @query(f"{_LOOKUP} SELECT id, profile IS NULL AS generated, COALESCE(profile, 'generated ' || id) AS profile FROM found")
 def cache_miss(spark: SparkSession, sf: str) -> DataFrame:
-    """Profiles from the cache, and new ones for the images that it lacks only."""
-    found = results.lookup(_wanted(spark, sf), _profiles(spark, sf))
-    hits = found.filter("profile is not null").select("id", F.lit(False).alias("generated"), "profile")
-    misses = _wanted(spark, sf).select("id").join(hits, "id", "left_anti")
-    return hits.unionByName(misses.select("id", F.lit(True).alias("generated"), F.concat(F.lit("generated "), F.col("id").cast("string")).alias("profile")))
+    """Profiles from a stored cache, and new ones for the images that it lacks only; the new ones are saved and found the next time."""
+    root, wanted = new_folder(spark), _wanted(spark, sf)
+    profiles.save(spark, root, _saved(_profiles(spark, sf).select(F.col("key").alias("image_path"), F.col("profile").alias("observations"))), _BUCKETS)
+    misses = profiles.lookup(spark, root, wanted).filter("profile is null").select("id").join(wanted, "id")
+    made = misses.select(F.get("keys", F.lit(0)).alias("image_path"), F.concat(F.lit("generated "), F.col("id").cast("string")).alias("observations"))
+    profiles.save(spark, root, _saved(made))
+    found = profiles.lookup(spark, root, wanted).select("id", F.col("profile.observations").alias("profile"))
+    return found.select("id", F.startswith("profile", F.lit("generated ")).alias("generated"), "profile")
 
 
 @query(f"WITH {MANIFEST} SELECT image_path, CASE WHEN doc_id % 2 = 0 THEN 'again' ELSE dataset_name END AS observations, CAST(gt_label AS INTEGER) AS pred_label FROM manifest")
 def profile_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest snapshot of a cache that was saved twice; rows without a path are not kept."""
+    """The newest state of a cache that was saved twice; rows without a path are not kept."""
     m = manifest(spark, sf)
-    blank = F.lit("")
-    rows = m.select("doc_id", "image_path", F.col("dataset_name").alias("observations"), blank.alias("detected_anomalies"), blank.alias("limitations"), F.col("gt_label").cast("int").alias("pred_label"), F.lit(1).cast("long").alias("version"))
+    rows = _saved(m.select("image_path", F.col("dataset_name").alias("observations"), F.col("gt_label").alias("pred_label")))
     root = new_folder(spark)
-    stored.save_profiles(spark, root, rows.drop("doc_id").unionByName(rows.drop("doc_id").withColumn("image_path", blank)))
-    newer = rows.filter("doc_id % 2 = 0").drop("doc_id").withColumn("observations", F.lit("again")).withColumn("version", F.lit(2).cast("long"))
-    return stored.save_profiles(spark, root, newer).select("image_path", "observations", "pred_label")
+    profiles.save(spark, root, rows.unionByName(rows.withColumn("image_path", F.lit(""))), _BUCKETS)
+    newer = m.filter("doc_id % 2 = 0").select("image_path", F.lit("again").alias("observations"), F.col("gt_label").alias("pred_label"), F.lit(2).alias("version"))
+    return profiles.save(spark, root, _saved(newer)).select("image_path", "observations", "pred_label")
 
 
 @query(f"WITH {MANIFEST} SELECT image_path, sha256(image_path || ':0') AS session_key FROM manifest")

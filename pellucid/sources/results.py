@@ -1,17 +1,12 @@
-"""Result folders, the metrics file, and snapshots of the profile cache."""
+"""Result folders and the metrics file."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pellucid.operators import evaluation
-from pellucid.operators.results import upsert
 
 FINAL = "result_id string, image_path string, is_success boolean, reasoning string, finally_result int, gt_label int, dataset_name string"
-PROFILE = "image_path string, observations string, detected_anomalies string, limitations string, pred_label int, version long"
 
 
 def final_output(folder: str) -> str:
@@ -55,38 +50,3 @@ def write_metrics(results: DataFrame, folder: str) -> DataFrame:
     if not m.isEmpty():
         m.coalesce(1).write.mode("overwrite").option("header", True).csv(final_output(folder).rsplit("/", 1)[0] + "/prediction_metrics.csv")
     return m
-
-
-POINTER = re.compile(r"POINTER-(\d{12})-(snapshot-[0-9a-f]{32})")
-
-
-def _newest(spark: SparkSession, root: str) -> tuple[int, str | None]:
-    """The number and snapshot of the newest pointer; ties go to the greater name."""
-    fs, p = _fs(spark, root)
-    found = [POINTER.fullmatch(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
-    return max(((int(m[1]), m[2]) for m in found if m), default=(0, None))
-
-
-def read_profiles(spark: SparkSession, root: str) -> DataFrame:
-    """The cache's newest snapshot; empty if there is none."""
-    name = _newest(spark, root)[1]
-    return spark.read.schema(PROFILE).parquet(f"{root}/{name}") if name else spark.createDataFrame([], PROFILE)
-
-
-def save_profiles(spark: SparkSession, root: str, new: DataFrame) -> DataFrame:
-    """Writes a snapshot with the new rows in, then an empty file whose name points to it, and never changes or deletes either.
-
-    Readers see the old snapshot or the new one whole; a save that breaks off leaves the old one. Saves at the same time
-    would each lack the other's rows, so only the one that first claims the next number goes on, and others begin again.
-    """
-    valid = new.filter("image_path is not null and image_path <> ''")
-    while True:
-        n, old = _newest(spark, root)
-        name = f"snapshot-{uuid.uuid4().hex}"
-        before = spark.read.schema(PROFILE).parquet(f"{root}/{old}") if old else spark.createDataFrame([], PROFILE)
-        upsert(before, valid, "image_path", "version").write.parquet(f"{root}/{name}")
-        if _newest(spark, root)[0] == n:
-            fs, at = _fs(spark, f"{root}/POINTER-{n + 1:012d}-{name}")
-            fs.create(at, False).close()
-            if _newest(spark, root) == (n + 1, name):
-                return read_profiles(spark, root)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pellucid.operators import stages
-from pellucid.sources.results import save_profiles
+from pellucid.sources import profiles
 
 MANIFEST = "image_path string, gt_label string, dataset_name string"
 
@@ -55,9 +55,9 @@ def error_rates(events: DataFrame, window: str = "10 minutes", late: str = "1 ho
 
 
 def upsert_profiles(rows: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Adds each batch of profiles to the cache; a batch that is replayed changes nothing."""
+    """Adds each batch of profiles to the cache, rewriting the buckets of its keys; a batch that is replayed changes nothing."""
 
     def add(batch: DataFrame, _: int) -> None:
-        save_profiles(batch.sparkSession, root, batch)
+        profiles.save(batch.sparkSession, root, batch)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -49,41 +49,9 @@ def test_results_round_trip(spark, tmp_path):
     assert results.write_metrics(rows.limit(0), out).count() == 0
 
 
-def test_profile_snapshots(spark, tmp_path):
-    root = str(tmp_path / "cache")
-    assert results.read_profiles(spark, root).count() == 0
-    row = lambda p, o, v: (p, o, "", "", 1, v)
-    results.save_profiles(spark, root, spark.createDataFrame([row("a", "old", 1), row("b", "b", 1), row("", "bad", 1)], results.PROFILE))
-    got = results.save_profiles(spark, root, spark.createDataFrame([row("a", "new", 1), row("b", "stale", 0)], results.PROFILE))
-    assert {r.image_path: r.observations for r in got.collect()} == {"a": "new", "b": "b"}
-
-
 def test_quoted_lines_and_missing_labels(spark, tmp_path):
     f = _csv(tmp_path / "q.csv", 'image_path,gt_label,note\n"x\ny.jpg",1,"two\nlines"\nz.jpg,0,\n')
     got = {r.image_path.rsplit("/", 1)[-1]: r.gt_label for r in manifests.read(spark, f).collect()}
     assert got == {"x\ny.jpg": 1, "z.jpg": 0}
     with pytest.raises(Exception, match="null"):
         manifests.read(spark, _csv(tmp_path / "n.csv", "image_path,gt_label\na.jpg,\n")).collect()
-
-
-def test_a_save_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch):
-    root = str(tmp_path / "cache")
-    one = lambda p: spark.createDataFrame([(p, p, "", "", 1, 1)], results.PROFILE)
-    results.save_profiles(spark, root, one("a"))
-    reader = results.read_profiles(spark, root)
-    with monkeypatch.context() as m:
-        m.setattr(results, "upsert", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
-        with pytest.raises(RuntimeError):
-            results.save_profiles(spark, root, one("b"))
-    assert [r.image_path for r in results.read_profiles(spark, root).collect()] == ["a"]
-    real, other = results.upsert, []
-
-    def meanwhile(*a):
-        if not other:  # another save comes first
-            other.append(1)
-            results.save_profiles(spark, root, one("c"))
-        return real(*a)
-
-    monkeypatch.setattr(results, "upsert", meanwhile)
-    assert {r.image_path for r in results.save_profiles(spark, root, one("d")).collect()} == {"a", "c", "d"}
-    assert [r.image_path for r in reader.collect()] == ["a"]

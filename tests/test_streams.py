@@ -1,4 +1,4 @@
-from pellucid.sources import results
+from pellucid.sources import profiles
 from pellucid.streaming import streams
 
 
@@ -12,9 +12,9 @@ def test_stage_states_and_profiles(spark, tmp_path):
     q.awaitTermination(120)
     assert {r.conv_id: (r.stage, r.unparsed) for r in spark.table("states").collect()} == {1: ("DONE", 0), 2: ("INITIAL", 1)}
 
-    spark.createDataFrame([("a", "o", "", "", 1, 5)], results.PROFILE).write.json(str(tmp_path / "p"))
-    streams.upsert_profiles(spark.readStream.schema(results.PROFILE).json(str(tmp_path / "p")), str(tmp_path / "cache"), str(tmp_path / "pc")).awaitTermination(120)
-    assert results.read_profiles(spark, str(tmp_path / "cache")).count() == 1
+    spark.createDataFrame([("a", "o", "", "", 1, 5)], profiles.PROFILE).write.json(str(tmp_path / "p"))
+    streams.upsert_profiles(spark.readStream.schema(profiles.PROFILE).json(str(tmp_path / "p")), str(tmp_path / "cache"), str(tmp_path / "pc")).awaitTermination(120)
+    assert profiles.read(spark, str(tmp_path / "cache")).count() == 1
 
 
 def test_manifest_stream_and_rates(spark, tmp_path):
