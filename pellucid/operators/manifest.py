@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REQUIRED = ("image_path", "gt_label")
@@ -28,17 +28,17 @@ def with_dataset(df: DataFrame, stem: Column) -> DataFrame:
 
 
 def keep_last(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key in the given order, with all columns."""
-    return _pick(df, key, [F.col(c).desc_nulls_last() for c in order])
+    """The last row of each key in the given order, nulls first, with all columns. Rows of one key are reduced before they are shuffled."""
+    return _pick(df, key, F.max_by(F.struct(*df.columns), F.struct(*order)))
 
 
 def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
-    return _pick(df, key, [F.col(c).asc_nulls_last() for c in order])
+    """The first row of each key in the given order, nulls last."""
+    return _pick(df, key, F.min_by(F.struct(*df.columns), F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])))
 
 
-def _pick(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def _pick(df: DataFrame, key: str, row: Column) -> DataFrame:
+    return df.groupBy(key).agg(row.alias("_row")).select("_row.*")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -56,6 +56,23 @@ def by_image(df: DataFrame, order: str) -> DataFrame:
     return df.filter("image_path is not null").groupBy("image_path").agg(first, F.count("*").alias("n")).select("image_path", "f.gt_label", "f.dataset_name", "n")
 
 
-def label_map(df: DataFrame) -> DataFrame:
-    """All labels as one map from path to label; for manifests that fit into a row."""
-    return df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("image_path", "gt_label")))).alias("labels"))
+#: Paths of a label map's bucket, about.
+IN_A_MAP = 10_000
+
+
+def label_maps(df: DataFrame, buckets: int) -> DataFrame:
+    """bucket, labels: all labels as bounded maps from path to label, one for each hash bucket; of equal paths the greatest label. Null paths go.
+
+    buckets: as many as keep a map small, IN_A_MAP paths or so.
+    """
+    one = df.filter("image_path is not null").groupBy("image_path").agg(F.max("gt_label").alias("gt_label"))
+    return one.groupBy(_bucket(F.col("image_path"), buckets).alias("bucket")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("image_path", "gt_label")))).alias("labels"))
+
+
+def label_of(df: DataFrame, maps: DataFrame, buckets: int) -> DataFrame:
+    """Adds label, the label of image_path in maps of so many buckets; null where there is none. A row meets its bucket's map only."""
+    return df.withColumn("bucket", F.coalesce(_bucket(F.col("image_path"), buckets), F.lit(0))).join(maps, "bucket", "left").withColumn("label", F.try_element_at("labels", F.coalesce("image_path", F.lit("")))).drop("bucket", "labels")
+
+
+def _bucket(path: Column, buckets: int) -> Column:
+    return F.when(path.isNotNull(), F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int"))

@@ -82,12 +82,12 @@ _UNION = f"WITH {_FILES}, u AS (SELECT image_path, {_LABEL}, dataset_name, row_o
 
 @query(f"{_UNION} SELECT '/' || image_path AS image_path, gt_label, dataset_name FROM u QUALIFY row_number() OVER (PARTITION BY image_path ORDER BY file_ord DESC, row_ord DESC) = 1")
 def manifest_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Two manifests written as CSV and read, checked and united; the later row of a path is kept."""
+    """Two manifests written as CSV, each as many files, and read, checked and united; the later row of a path is kept."""
     folder = new_folder(spark)
     given = [f"{folder}/first", f"{folder}/second"]
     for df, path in zip(_files(spark, sf), given):
-        df.drop("row_ord").write.option("header", True).csv(path)
-    return manifests.read(spark, given, "/")
+        df.repartition(12).drop("row_ord").write.option("header", True).csv(path)
+    return manifests.read(spark, given, "/", multiline=False)
 
 
 @query(f"{_UNION} SELECT * FROM u")
@@ -143,10 +143,13 @@ def group_first(spark: SparkSession, sf: str) -> DataFrame:
     return _union(spark, sf).groupBy("image_path").agg(F.min_by("gt_label", F.struct("file_ord", "row_ord")).alias("gt_label"))
 
 
-@query(f"WITH {MANIFEST} SELECT DISTINCT image_path, CAST(gt_label AS INTEGER) AS gt_label FROM manifest")
+@query(f"WITH {MANIFEST} SELECT 'images/' || d.source || '/' || d.doc_id || '.jpg' AS image_path, CAST(m.gt_label AS INTEGER) AS label FROM documents d LEFT JOIN manifest m USING (doc_id)")
 def label_map(spark: SparkSession, sf: str) -> DataFrame:
-    """The label map, as its entries."""
-    return manifest(spark, sf).select("image_path", F.col("gt_label").cast("int").alias("gt_label")).distinct()
+    """Every document's label, looked up in the maps of its path's bucket; most have none."""
+    m = manifest(spark, sf)
+    buckets = 1 + m.count() // man.IN_A_MAP
+    d = table(spark, sf, "documents").select(F.concat(F.lit("images/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_path"))
+    return man.label_of(d, man.label_maps(m, buckets), buckets).select("image_path", F.col("label").cast("int").alias("label"))
 
 
 @query(f"WITH {MANIFEST} SELECT image_path, gt_label FROM manifest ORDER BY image_path")

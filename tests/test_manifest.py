@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from pellucid.sources import manifests, results
@@ -55,3 +57,64 @@ def test_quoted_lines_and_missing_labels(spark, tmp_path):
     assert got == {"x\ny.jpg": 1, "z.jpg": 0}
     with pytest.raises(Exception, match="null"):
         manifests.read(spark, _csv(tmp_path / "n.csv", "image_path,gt_label\na.jpg,\n")).collect()
+
+
+def test_hundreds_of_files_in_one_plan(spark, tmp_path):
+    """As a sequential read has it: later files and rows win, whatever the files' columns."""
+    want, given = {}, []
+    for i in range(240):
+        odd = i % 3 == 1
+        lines = [("gt_label,note,image_path" if odd else "image_path,gt_label")]
+        for j in range(5):
+            path, label = f"/p/{(i * 7 + j * 11) % 90}.jpg", (i + j) % 2
+            lines.append(f"{label},x,{path}" if odd else f"{path},{label}")
+            want[path] = (label, f"m {i}")
+        given.append(_csv(tmp_path / f"m {i}.csv", "\n".join(lines) + "\n"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    df = manifests.read(spark, given)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before)
+    assert {r.image_path: (r.gt_label, r.dataset_name) for r in df.collect()} == want
+    assert jobs <= 8  # of listing, and of one look for a row
+    assert len(re.findall(r"Relation ?\[", df._jdf.queryExecution().optimizedPlan().toString())) == 2
+
+
+def test_one_file_of_many_splits(spark, tmp_path):
+    n, want = 30_000, {}
+    with open(tmp_path / "big.csv", "w") as f:
+        f.write("image_path,gt_label\n")
+        for i in range(n):
+            path, label = f"/p/{i * 7919 % 1000}.jpg", i % 5
+            want[path] = label
+            f.write(f"{path},{label}\n")
+    conf = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = manifests.read(spark, str(tmp_path / "big.csv"), multiline=False)
+        got = {r.image_path: r.gt_label for r in df.collect()}
+        splits = spark.read.csv(str(tmp_path / "big.csv")).rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want and splits > 10
+
+
+def test_label_maps(spark):
+    from pellucid.operators import manifest as man
+
+    rows = [(f"p{i}", i % 2) for i in range(500)] + [("p3", 7), (None, 1)]
+    m = spark.createDataFrame(rows, "image_path string, gt_label int")
+    maps = man.label_maps(m, 16)
+    sizes = [len(r.labels) for r in maps.collect()]
+    assert sum(sizes) == 500 and max(sizes) < 80 and len(sizes) == 16
+    asked = spark.createDataFrame([("p3",), ("p8",), ("none",), (None,), ("p8",)], "image_path string")
+    assert sorted(((r.image_path, r.label) for r in man.label_of(asked, maps, 16).collect()), key=repr) == sorted([("p3", 7), ("p8", 0), ("p8", 0), ("none", None), (None, None)], key=repr)
+
+
+def test_first_and_last_rows(spark):
+    from pellucid.operators import manifest as man
+
+    df = spark.createDataFrame([("a", 1, "x"), ("a", None, "y"), ("a", 3, None), ("b", None, "z"), (None, 1, "n")], "k string, o int, v string")
+    last, first = ({r.k: r.v for r in f(df, "k", "o").collect()} for f in (man.keep_last, man.keep_first))
+    assert last == {"a": None, "b": "z", None: "n"} and first == {"a": "x", "b": "z", None: "n"}
