@@ -60,16 +60,48 @@ def route(stage: Column, has_response: Column, is_success: Column) -> Column:
     return F.when(stage == "MAX_ITERATIONS", "raise:max_iterations").when(stage == "DONE", done).when(stage == "ERROR", "raise:error").when(stage == "FORENSIC_REPORT_FORMULATION", "reporter").otherwise("agent")
 
 
-def graph(walked: DataFrame, has_response: Column, is_success: Column) -> DataFrame:
-    """How each walked conversation's graph ends: at the first check that leads to the end or to an error, else open.
+#: Sequence numbers of a block.
+BLOCK = 1024
 
-    Returns conv_id, checks (made until then) and outcome.
+
+def trail(replies: DataFrame, cap: int = 20, block: int = BLOCK) -> DataFrame:
+    """The stage after every reply, as rows; a conversation of any length is spread over blocks of its sequence.
+
+    replies: conv_id, seq, found, n, as in walk(). Returns conv_id, seq, i (the reply's number, from 1), stage, unparsed.
+
+    A reply maps the stages to stages: it leaves them, or sends all but MAX_ITERATIONS to one, or all to MAX_ITERATIONS. Maps of these kinds
+    are closed under composition: the last that isn't the identity counts, and MAX_ITERATIONS absorbs. So a block is
+    a map, a count of replies, one of replies without a marker and the highest count that the cap looks at. Blocks are composed in
+    order, and each reply's state is its block's entry state followed by the block's replies up to it.
+    """
+    most = "MAX_ITERATIONS"
+    order = ["seq", "found", "n"]
+    rows = replies.select("conv_id", "seq", "found", "n", F.floor(F.col("seq") / block).alias("_block"))
+    so_far = Window.partitionBy("conv_id", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bad = F.when(F.col("found").isNull(), 1).otherwise(0)
+    local = rows.withColumns({"_i": F.row_number().over(Window.partitionBy("conv_id", "_block").orderBy(*order)), "_bad": F.sum(bad).over(so_far), "_known": F.last("found", ignorenulls=True).over(so_far), "_stop": F.max(F.col("found").eqNullSafe(most)).over(so_far)})
+    local = local.withColumn("_top", F.max(F.col("n") + F.col("_bad")).over(so_far))
+    blocks = local.groupBy("conv_id", "_block").agg(F.max("_i").alias("i"), F.max("_bad").alias("bad"), F.max_by("_known", "_i").alias("known"), F.max("_stop").alias("stop"), F.max("_top").alias("top"))
+    # a row for each block of a conversation
+    before = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = blocks.withColumns({"i0": F.coalesce(F.sum("i").over(before), F.lit(0)), "bad0": F.coalesce(F.sum("bad").over(before), F.lit(0)), "known0": F.last("known", ignorenulls=True).over(before), "stop0": F.coalesce(F.max("stop").over(before), F.lit(False))})
+    entry = entry.withColumn("top0", F.max(F.col("bad0") + F.col("top")).over(before)).select("conv_id", "_block", "i0", "bad0", "known0", "stop0", "top0")
+    same = local["conv_id"].eqNullSafe(entry["conv_id"]) & local["_block"].eqNullSafe(entry["_block"])
+    both = local.join(entry, same).drop(entry["conv_id"]).drop(entry["_block"])
+    over = F.col("_stop") | F.col("stop0") | (F.greatest("top0", F.col("bad0") + F.col("_top")) >= 2 * cap)
+    stage = F.when(over, most).otherwise(F.coalesce("_known", "known0", F.lit("INITIAL")))
+    return both.select("conv_id", "seq", (F.col("i0") + F.col("_i")).cast("long").alias("i"), stage.alias("stage"), (F.col("bad0") + F.col("_bad")).cast("long").alias("unparsed"))
+
+
+def graph(trail: DataFrame, has_response: Column, is_success: Column) -> DataFrame:
+    """How each conversation's graph ends: at the first check that leads to the end or to an error, else open.
+
+    trail: as trail() gives it, with the columns that has_response and is_success need. Returns conv_id, checks (made until then) and outcome.
     """
-    nodes = F.transform("trail", lambda s: route(s, has_response, is_success))
-    final = F.transform(nodes, lambda n: (n == "end") | F.startswith(n, F.lit("raise:")))
-    at = F.array_position(final, True)
-    rows = walked.withColumn("_nodes", nodes).withColumn("_at", at)
-    return rows.select("conv_id", F.when(F.col("_at") > 0, F.col("_at")).otherwise(F.size("trail").cast("long")).alias("checks"), F.when(F.col("_at") > 0, F.get("_nodes", (F.col("_at") - 1).cast("int"))).otherwise("open").alias("outcome"))
+    node = route(F.col("stage"), has_response, is_success)
+    final = (node == "end") | F.startswith(node, F.lit("raise:"))
+    ended = F.when(final, F.col("i"))
+    return trail.groupBy("conv_id").agg(F.coalesce(F.min(ended), F.max("i")).alias("checks"), F.coalesce(F.min_by(node, ended), F.lit("open")).alias("outcome"))
 
 
 def after_report(is_success: Column) -> Column:

@@ -79,6 +79,17 @@ def stage_step(spark: SparkSession, sf: str) -> DataFrame:
     return _walked(spark, sf).select("conv_id", "stage", "unparsed", F.array_join("trail", ">").alias("trail"))
 
 
+def _trail(spark: SparkSession, sf: str) -> DataFrame:
+    replies = _replies(spark, sf).select("conv_id", "seq", F.col("stage").alias("found"), (F.col("seq") + 1).alias("n"))
+    return stages.trail(replies, _CAP, 4)
+
+
+@query(f"WITH {MESSAGES}, {_FOUND}, {_STEP} SELECT conv_id, seq, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS i, stage, bad::BIGINT AS unparsed FROM trail")
+def stage_trail(spark: SparkSession, sf: str) -> DataFrame:
+    """The stage after every reply, as rows, by blocks of four sequence numbers."""
+    return _trail(spark, sf)
+
+
 _ROUTE = "CASE stage WHEN 'MAX_ITERATIONS' THEN 'raise:max_iterations' WHEN 'DONE' THEN CASE WHEN conv_id % 3 = 0 THEN 'reporter' WHEN conv_id % 3 = 1 THEN 'agent' ELSE 'end' END WHEN 'ERROR' THEN 'raise:error' WHEN 'FORENSIC_REPORT_FORMULATION' THEN 'reporter' ELSE 'agent' END"
 
 
@@ -95,7 +106,7 @@ SELECT conv_id, COALESCE(ended, total) AS checks, COALESCE(node, 'open') AS outc
 def graph(spark: SparkSession, sf: str) -> DataFrame:
     """Where each conversation's graph ends."""
     i = F.col("conv_id") % 3
-    return stages.graph(_walked(spark, sf), i != 0, i != 1)
+    return stages.graph(_trail(spark, sf), i != 0, i != 1)
 
 
 @query("SELECT DISTINCT conv_id, CASE conv_id % 3 WHEN 0 THEN 'ai:update stage to: done' ELSE 'tool:report_conflict_tool|ai:update stage to: forensic_report_formulation' END AS added FROM conversations")
