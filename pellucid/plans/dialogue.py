@@ -11,7 +11,8 @@ from pellucid.operators import messages as msg
 from pellucid.operators import stages
 from pellucid.plans.registry import query
 from pellucid.plans.views import MESSAGES, messages, table
-from pellucid.sources.files import new_folder, write_files
+from pellucid.sources import containers
+from pellucid.sources.files import new_folder
 
 _IS_TOOL = "role = 'tool' and name = 'semantic_context_extraction'"
 _HAS_AI = "role = 'ai' and content <> ''"
@@ -197,12 +198,30 @@ def detail_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_DETAIL.replace("conv_id, count(*)", "md5(CAST(conv_id AS VARCHAR)) || '.json' AS result_id, count(*)").replace("GROUP BY 1", "GROUP BY conv_id"))
 def detail_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """The detail files, one for each conversation, written and read back."""
-    rows = detail_messages(spark, sf).select(F.concat(F.md5(F.col("conv_id").cast("string")), F.lit(".json")).alias("result_id"), "n", "detail")
+    """The details of all conversations, written in two appends of containers and read back."""
     folder = new_folder(spark)
-    write_files(rows.select(F.col("result_id").alias("name"), F.encode(F.to_json(F.struct("n", "detail")), "UTF-8").alias("content")), folder)
-    got = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema("n long, detail string").json(folder)
-    return got.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("result_id"), "n", "detail")
+    rows = _details(spark, sf)
+    for part in (0, 1):
+        containers.write(rows.filter(F.crc32("name") % 2 == part), folder, 1 << 16)
+    return _opened(containers.read(spark, folder))
+
+
+@query(_DETAIL.replace("conv_id, count(*)", "md5(CAST(conv_id AS VARCHAR)) || '.json' AS result_id, count(*)").replace("WHERE content <> ''", "WHERE content <> '' AND conv_id % 10 = 0").replace("GROUP BY 1", "GROUP BY conv_id"))
+def detail_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Some conversations' details, each one range of a container."""
+    folder = new_folder(spark)
+    containers.write(_details(spark, sf), folder)
+    wanted = table(spark, sf, "conversations").filter("conv_id % 10 = 0").select(F.concat(F.md5(F.col("conv_id").cast("string")), F.lit(".json")).alias("name"))
+    return _opened(containers.lookup(spark, folder, wanted))
+
+
+def _details(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.md5(F.col("conv_id").cast("string")), F.lit(".json"))
+    return detail_messages(spark, sf).select(name.alias("name"), F.encode(F.to_json(F.struct("n", "detail")), "UTF-8").alias("content"))
+
+
+def _opened(found: DataFrame) -> DataFrame:
+    return found.select(F.col("name").alias("result_id"), F.from_json(F.decode("content", "UTF-8"), "n long, detail string").alias("d")).select("result_id", "d.*")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 4096 THEN left(text, 4096) || '...' ELSE text END AS text FROM documents")

@@ -254,14 +254,6 @@ def img_resize(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", r.alias("r")).select("doc_id", "r.width", "r.height", F.round("r.ratio", 9).alias("ratio"))
 
 
-@query("""SELECT doc_id, 64 + doc_id % 7 AS width, 48 + doc_id % 5 AS height, CASE WHEN n_chars > 0 THEN round((64 + doc_id % 7) * (48 + doc_id % 5) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END / n_chars, 4) ELSE 0.0 END AS compression_ratio FROM documents""")
-def img_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents' lengths as file sizes."""
-    mode = F.when(F.col("doc_id") % 3 == 0, "L").when(F.col("doc_id") % 3 == 1, "unknown").otherwise("RGBA")
-    w, h = 64 + F.col("doc_id") % 7, 48 + F.col("doc_id") % 5
-    return table(spark, sf, "documents").select("doc_id", w.alias("width"), h.alias("height"), images.compression_ratio(w, h, images.bytes_per_pixel(mode), F.col("n_chars")).alias("compression_ratio"))
-
-
 _MASKED = f"""WITH {PIXELS}, t AS (SELECT vec_id, y, x, g, CASE WHEN (y + x) % 2 = 0 THEN 255 ELSE 255 - g END AS m FROM pixels)"""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,7 @@ from pellucid.operators import agent, evaluation, images, reasoner, results
 from pellucid.plans import pictures  # noqa: F401  (its SQL is part of this module's)
 from pellucid.plans.registry import ORACLE, query
 from pellucid.plans.views import MANIFEST, manifest, planes, table
+from pellucid.sources import headers
 from pellucid.sources import images as pics
 from pellucid.sources.files import new_folder, write_files
 
@@ -106,6 +108,46 @@ def image_scan(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.element_at(F.split("path", "/"), -1).alias("name"), "height", "width", total.alias("total"), "error")
 
 
+def image_file(kind: str, g: np.ndarray) -> bytes:
+    """A file of a gray plane: PNG, BMP and TIFF with its pixels, JPEG and WebP with their headers alone."""
+    h, w = g.shape
+    if kind == "png":
+        return pics.png(g, 0)
+    if kind == "bmp":
+        return struct.pack("<2sIHHI", b"BM", 1078 + w * h, 0, 0, 1078) + struct.pack("<IiiHHIIiiII", 40, w, -h, 1, 8, 0, w * h, 0, 0, 256, 0) + b"".join(bytes((i, i, i, 0)) for i in range(256)) + g.tobytes()
+    if kind == "jpg":
+        return b"\xff\xd8\xff\xfe" + struct.pack(">H", 66) + bytes(64) + b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, h, w, 3) + bytes(9) + b"\xff\xd9"
+    if kind == "tiff":
+        tags = ((256, w), (257, h), (258, 8), (259, 1), (262, 1), (273, 8), (277, 1), (279, w * h))
+        return struct.pack("<2sHI", b"II", 42, 8 + w * h) + g.tobytes() + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+    size = lambda n: (n - 1).to_bytes(3, "little")
+    return b"RIFF" + struct.pack("<I", 94) + b"WEBPVP8X" + struct.pack("<I", 10) + b"\x10\0\0\0" + size(w) + size(h) + b"JUNK" + struct.pack("<I", 64) + bytes(64)
+
+
+_KINDS = ("png", "bmp", "jpg", "tiff", "webp")
+
+
+@query(f"""WITH f AS (SELECT vec_id, 8 * (1 + vec_id % 7) AS w, 8 * (1 + vec_id % 3) AS h, vec_id % 5 AS k, vec_id % 11 = 0 AS bad FROM embeddings),
+l AS (SELECT *, CASE k WHEN 0 THEN 68 + (w + 1) * h WHEN 1 THEN 1078 + w * h WHEN 2 THEN 91 WHEN 3 THEN 110 + w * h ELSE 102 END AS size, CASE k WHEN 2 THEN 3 WHEN 4 THEN 4 ELSE 1 END AS channels FROM f)
+SELECT 'v' || vec_id || '.' || {list(_KINDS)}[k + 1] AS name, {[k.upper().replace("JPG", "JPEG") for k in _KINDS]}[k + 1] AS format, CASE WHEN NOT bad THEN w::INTEGER END AS width, CASE WHEN NOT bad THEN h::INTEGER END AS height,
+  CASE WHEN NOT bad THEN ['L', 'P', 'RGB', 'L', 'RGBA'][k + 1] END AS mode, CASE WHEN NOT bad THEN round(w * h * channels / size, 4) END AS compression_ratio, CASE WHEN bad THEN 'the header ends too early' END AS error FROM l""")
+def img_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes, modes and compression of files in five formats, of which only headers are read; every eleventh breaks off."""
+
+    @F.pandas_udf("binary")
+    def content(vec_id: pd.Series, g: pd.Series) -> pd.Series:
+        plane = lambda i, x: np.tile(np.asarray(x, np.uint8).reshape(8, 8), (1 + i % 3, 1 + i % 7))
+        return pd.Series([image_file(_KINDS[i % 5], plane(i, x))[: 13 if i % 11 == 0 else None] for i, x in zip(vec_id, g)], dtype=object)
+
+    folder = new_folder(spark)
+    suffix = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (F.col("vec_id") % 5).cast("int") + 1)
+    write_files(planes(spark, sf).select(F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit("."), suffix).alias("name"), content("vec_id", "g").alias("content")), folder)
+    headers.register(spark)
+    h = spark.read.format("image_headers").load(folder)
+    ratio = images.compression_ratio(F.col("width"), F.col("height"), images.bytes_per_pixel(F.col("mode")), F.col("length"))
+    return h.select(F.element_at(F.split("path", "/"), -1).alias("name"), "format", "width", "height", "mode", F.when(F.col("width").isNotNull(), ratio).alias("compression_ratio"), "error")
+
+
 _SUFFIXES = (".jpg", ".JPG", ".Webp", ".tif", ".PNG")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Suffixes of images, in lower or upper case.
 SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tiff")
+NAMES = "{" + ",".join(f"*{s},*{s.upper()}" for s in SUFFIXES) + "}"
 
 
 def same_uri(c: Column) -> Column:
@@ -22,20 +23,13 @@ def same_uri(c: Column) -> Column:
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
     """path and length of a folder's images, not of folders below; no file is opened. Spark leaves out files without a byte."""
-    names = "{" + ",".join(f"*{s},*{s.upper()}" for s in SUFFIXES) + "}"
-    return spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", False).load(folder).select("path", "length")
-
-
-def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """path, length and content."""
-    names = "{" + ",".join(f"*{s},*{s.upper()}" for s in SUFFIXES) + "}"
-    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path", "length", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", NAMES).option("recursiveFileLookup", False).load(folder).select("path", "length")
 
 
 def decode(spark: SparkSession, folder: str) -> DataFrame:
     """path, height, width, channels, data (blue, green, red bytes) and error of a folder's images; formats that the
     JVM cannot read, and damaged files, have an error instead of pixels."""
-    i = spark.read.format("image").load(folder).select("image.*")
+    i = spark.read.format("image").option("pathGlobFilter", NAMES).load(folder).select("image.*")
     bad = F.col("width") < 0
     ok = lambda c: F.when(~bad, F.col(c))
     return i.select(same_uri(F.col("origin")).alias("path"), ok("height").alias("height"), ok("width").alias("width"), ok("nChannels").alias("channels"), ok("data").alias("data"), F.when(bad, "cannot be decoded").alias("error"))
@@ -59,7 +53,7 @@ def luma_plane(data: Column, channels: Column) -> Column:
     return run(data, channels)
 
 
-def png(plane: np.ndarray) -> bytes:
+def png(plane: np.ndarray, level: int = -1) -> bytes:
     """An 8-bit gray PNG of rows of bytes."""
     h, w = plane.shape
 
@@ -67,7 +61,7 @@ def png(plane: np.ndarray) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
     rows = b"".join(b"\0" + r.tobytes() for r in plane.astype(np.uint8))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, level)) + chunk(b"IEND", b"")
 
 
 def read_png(data: bytes) -> np.ndarray:
