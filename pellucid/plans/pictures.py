@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pellucid.functions.kernels import DB4
-from pellucid.operators import images
+from pellucid.operators import images, resample
 from pellucid.plans.registry import ORACLE, query
 from pellucid.plans.views import PIXELS, SIDE, planes, table
 
@@ -144,11 +144,11 @@ o AS (SELECT p, floor(r) AS r0, floor(c) AS c0, ceil(r) AS r1, ceil(c) AS c1, r
 bits AS (SELECT vec_id, y, x, p, CASE WHEN {_SAMPLE} - gs[CAST(y * 8 + x + 1 AS INTEGER)] >= 0 THEN 1 ELSE 0 END AS bit FROM v, range(8) a(y), range(8) b(x), o),
 turns AS (SELECT *, lag(bit) OVER (PARTITION BY vec_id, y, x ORDER BY p) AS before FROM bits),
 codes AS (SELECT vec_id, CASE WHEN count(*) FILTER (bit <> before) <= 2 THEN sum(bit) ELSE 25 END AS bin FROM turns GROUP BY vec_id, y, x)
-SELECT vec_id, CAST(bin AS INTEGER) AS bin, round(count(*) / (64 + 1e-8), 6) AS share FROM codes GROUP BY 1, 2""")
+SELECT v.vec_id, CAST(b.bin AS INTEGER) AS bin, round(count(codes.bin) / (64 + 1e-8), 6) AS share FROM embeddings v CROSS JOIN range(26) b(bin) LEFT JOIN codes ON codes.vec_id = v.vec_id AND codes.bin = b.bin GROUP BY 1, 2""")
 def img_lbp(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares of the local binary patterns that a plane has."""
+    """Shares of all local binary patterns, zeros included."""
     f = planes(spark, sf).select("vec_id", images.features(F.col("g"), *_size(), "lbp").alias("f"))
-    return f.select("vec_id", F.posexplode("f").alias("bin", "share")).filter("share > 0").withColumn("share", F.round("share", 6))
+    return f.select("vec_id", F.posexplode("f").alias("bin", "share")).withColumn("share", F.round("share", 6))
 
 
 #: Eighths of the circle from -pi on, closed on the left; whole gradients lie on their bounds exactly.
@@ -209,14 +209,14 @@ _DCT_GROUP = _group("dct", ["mean", "std", "median", "zeros", "dc", "low", "high
 _EDGE_GROUP = _group("edge", ["density", *(f"d{i}" for i in range(8))])
 
 
-@query(f"SELECT * FROM ({' UNION ALL '.join((_LBP_GROUP, _GLCM_GROUP, _EDGE_GROUP, _FFT_GROUP, _DCT_GROUP))}) WHERE value <> 0")
+@query(f"SELECT vec_id, kind, i, value + 0.0 AS value FROM ({' UNION ALL '.join((_LBP_GROUP, _GLCM_GROUP, _EDGE_GROUP, _FFT_GROUP, _DCT_GROUP))})")
 def feature_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """All feature groups in one pass, a row for each value that is not zero."""
+    """All feature groups in one pass, a row for each value, zeros included."""
     p = planes(spark, sf).select("vec_id", images.bundle(F.col("g"), *_size()).alias("f"))
     digits = lambda kind: lambda v, i: F.when(i < 6, F.round(v, 6)).otherwise(F.round(v, 3)) if kind == "fft" else F.round(v, 6)
     groups = F.array(*[F.struct(F.lit(k).alias("kind"), F.transform(f"f.{k}", digits(k)).alias("values")) for k in ("lbp", "glcm", "edge", "fft", "dct")])
     rows = p.select("vec_id", F.explode(groups).alias("g"))
-    return rows.select("vec_id", "g.kind", F.posexplode("g.values").alias("i", "value")).filter("value <> 0")
+    return rows.select("vec_id", "g.kind", F.posexplode("g.values").alias("i", "value")).withColumn("value", F.col("value") + 0.0)
 
 
 @query(f"""WITH {PIXELS}, s AS (
@@ -241,17 +241,41 @@ def sobel_directions(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("vec_id", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-_RATIO = "least(128.0 / w, 96.0 / h)"
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Planes repeated to 8, 16 or 24 columns and 8 or 16 rows, as rows of pixels."""
+    across, down = 1 + F.col("vec_id") % 3, 1 + F.col("vec_id") % 2
+    p = planes(spark, sf).select(F.col("vec_id").alias("image_id"), (SIDE * down).cast("int").alias("height"), (SIDE * across).cast("int").alias("width"), across.cast("int").alias("across"), "g", F.explode(F.sequence(F.lit(0), (SIDE * down - 1).cast("int"))).alias("y"))
+    return p.select("image_id", "height", "width", "y", F.flatten(F.array_repeat(F.slice("g", F.col("y") % SIDE * SIDE + 1, SIDE), F.col("across"))).alias("g"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, 40 + doc_id % 300 AS w, 30 + doc_id % 211 AS h FROM documents)
-SELECT doc_id, CASE WHEN w <= 128 AND h <= 96 THEN w ELSE CAST(floor(w * {_RATIO}) AS BIGINT) END AS width, CASE WHEN w <= 128 AND h <= 96 THEN h ELSE CAST(floor(h * {_RATIO}) AS BIGINT) END AS height,
-  CASE WHEN w <= 128 AND h <= 96 THEN 1.0 ELSE round({_RATIO}, 9) END AS ratio FROM s""")
+def _resampled(width: str, height: str) -> str:
+    """SQL of the planes at other sizes, over the same weights."""
+    return f"""{PIXELS}, px AS (SELECT vec_id AS image_id, 8 * (1 + vec_id % 3) AS w0, 8 * (1 + vec_id % 2) AS h0, u * 8 + y AS y, a * 8 + x AS x, g FROM pixels, range(3) r(a), range(2) s(u) WHERE a <= vec_id % 3 AND u <= vec_id % 2),
+im AS (SELECT DISTINCT image_id, w0, h0, CAST({width} AS BIGINT) AS w1, CAST({height} AS BIGINT) AS h1 FROM px),
+pairs AS (SELECT w0 AS n, w1 AS m FROM im UNION SELECT h0, h1 FROM im),
+arg AS (SELECT n, m, j, i, (i + 0.5 - (j + 0.5) * n::DOUBLE / m) / greatest(1.0, n::DOUBLE / m) AS x FROM pairs, range(24) r(i), range(24) s(j) WHERE i < n AND j < m),
+ker AS (SELECT n, m, j, i, CASE WHEN abs(x) >= 3 THEN 0.0 WHEN x = 0 THEN 1.0 ELSE sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) END AS k FROM arg),
+wt AS (SELECT n, m, j, i, k / sum(k) OVER (PARTITION BY n, m, j) AS w FROM ker),
+side AS (SELECT image_id, w1, h0, h1, y, j AS x, sum(g * w) AS v FROM px JOIN im USING (image_id, w0, h0) JOIN wt ON n = w0 AND m = w1 AND i = x GROUP BY 1, 2, 3, 4, 5, 6),
+new AS (SELECT image_id, w1, h1, j AS y, x, greatest(0, least(255, floor(round(sum(v * w), 6) + 0.5)))::INTEGER AS g FROM side JOIN wt ON n = h0 AND m = h1 AND i = y GROUP BY 1, 2, 3, 4, 5)"""
+
+
+_WITHIN, _COVER = "least(1.0, least(13.0 / w0, 11.0 / h0))", "greatest(6.0 / w0, 5.0 / h0)"
+
+
+@query(f"WITH {_resampled(f'floor(w0 * {_WITHIN})', f'floor(h0 * {_WITHIN})')} SELECT image_id, h1::INTEGER AS height, w1::INTEGER AS width, y::INTEGER AS y, x::INTEGER AS x, g FROM new")
 def img_resize(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes within 128 x 96."""
-    d = table(spark, sf, "documents")
-    r = images.resized(40 + F.col("doc_id") % 300, 30 + F.col("doc_id") % 211, 128, 96)
-    return d.select("doc_id", r.alias("r")).select("doc_id", "r.width", "r.height", F.round("r.ratio", 9).alias("ratio"))
+    """Pixels of planes shrunk to 13 x 11 at most."""
+    return resample.within(_rows(spark, sf), 13, 11)
+
+
+CROPPED = f"WITH {_resampled(f'greatest(6, round_even(w0 * {_COVER}, 0))', f'greatest(5, round_even(h0 * {_COVER}, 0))')} SELECT image_id, (y - (h1 - 5) // 2)::INTEGER AS y, (x - (w1 - 6) // 2)::INTEGER AS x, g FROM new WHERE y - (h1 - 5) // 2 BETWEEN 0 AND 4 AND x - (w1 - 6) // 2 BETWEEN 0 AND 5"
+
+
+@query(CROPPED)
+def img_crop(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of planes scaled to cover 6 x 5 and cut around the centre."""
+    return resample.centre_crop(_rows(spark, sf), 6, 5).select("image_id", "y", "x", "g")
 
 
 _MASKED = f"""WITH {PIXELS}, t AS (SELECT vec_id, y, x, g, CASE WHEN (y + x) % 2 = 0 THEN 255 ELSE 255 - g END AS m FROM pixels)"""

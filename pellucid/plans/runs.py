@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pellucid.functions import paths
 from pellucid.operators import agent, evaluation, images, reasoner, results
-from pellucid.plans import pictures  # noqa: F401  (its SQL is part of this module's)
+from pellucid.plans import pictures
 from pellucid.plans.registry import ORACLE, query
 from pellucid.plans.views import MANIFEST, manifest, planes, table
 from pellucid.sources import headers
@@ -81,18 +81,21 @@ def batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.metrics(run_batch(m, spark.createDataFrame([], "result_id string"), _features(spark, sf), nothing))
 
 
-@query("SELECT vec_id, 64 AS pixels, CAST(list_sum(list_transform(embedding, lambda e: floor((CAST(e AS DOUBLE) + 1.0) * 127.5))) AS BIGINT) AS total FROM embeddings")
+@query(pictures.CROPPED)
 def img_encode(spark: SparkSession, sf: str) -> DataFrame:
-    """Planes through PNG and base64 and back."""
-    b64 = pics.encode(F.col("g"), F.lit(8), F.lit(8))
-    p = planes(spark, sf).select("vec_id", paths.decode_base64(paths.data_url(F.unbase64(b64), F.lit("PNG"))).alias("data"))
+    """Pixels of planes that were cropped, encoded as PNG and base64, and decoded again."""
+    tall, wide = (F.col("vec_id") % 2 + 1).cast("int"), (F.col("vec_id") % 3 + 1).cast("int")
+    lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.flatten(F.array_repeat(F.slice("g", y * 8 + 1, 8), wide)))
+    big = planes(spark, sf).select("vec_id", F.flatten(F.array_repeat(F.flatten(lines), tall)).alias("g"), (8 * tall).alias("h"), (8 * wide).alias("w"))
+    b64 = pics.encode(F.col("g"), F.col("h"), F.col("w"), (6, 5))
+    p = big.select("vec_id", paths.decode_base64(paths.data_url(F.unbase64(b64), F.lit("PNG"))).alias("data"))
 
-    @F.pandas_udf("pixels int, total long")
-    def back(data: pd.Series) -> pd.DataFrame:
-        got = [pics.read_png(bytes(d)) for d in data]
-        return pd.DataFrame({"pixels": [g.size for g in got], "total": [int(g.astype(np.int64).sum()) for g in got]})
+    @F.pandas_udf("array<int>")
+    def back(data: pd.Series) -> pd.Series:
+        return pd.Series([pics.read_png(bytes(d)).ravel().tolist() for d in data], dtype=object)
 
-    return p.select("vec_id", back("data").alias("r")).select("vec_id", "r.*")
+    px = p.select(F.col("vec_id").alias("image_id"), F.posexplode(back("data")).alias("i", "g"))
+    return px.select("image_id", F.floor(F.col("i") / 6).cast("int").alias("y"), (F.col("i") % 6).cast("int").alias("x"), "g")
 
 
 @query("SELECT 'v' || vec_id || '.png' AS name, 8 AS height, 8 AS width, CAST(list_sum(list_transform(embedding, lambda e: floor((CAST(e AS DOUBLE) + 1.0) * 127.5))) AS BIGINT) AS total, CAST(NULL AS VARCHAR) AS error FROM embeddings")
@@ -167,7 +170,7 @@ def feature_prompt(spark: SparkSession, sf: str) -> DataFrame:
     prompts = p.select("vec_id", reasoner.prompt(F.col("f")).alias("prompt"))
     doc = F.from_json(F.regexp_replace("prompt", "^Features: ", ""), "dct array<double>")
     rows = prompts.select("vec_id", F.posexplode(doc["dct"]).alias("i", "value"))
-    return rows.withColumn("value", F.round("value", 6)).filter("value <> 0")
+    return rows.withColumn("value", F.round("value", 6) + 0.0)
 
 
 _AGAIN = """text || chr(10) || chr(10) || 'Your reply was not valid (not JSON at line 1, column 2: Expecting property name enclosed in double quotes). Reply again with the JSON object only.'"""
