@@ -5,7 +5,8 @@ bitmap in a shard is compressed: a sorted list of 16-bit positions, or a bit for
 grow as in SPAM: the bitmap of a phrase's ends, shifted by one place, and the next word's bitmap give the longer phrase's ends by
 AND, and its occurrences by popcount; the empty positions stop a phrase at its piece's end. Depth first, a shard keeps one bitmap for
 each word of the phrase at hand. A table of neighbours that are frequent over all shards (the co-occurrence map of CM-SPAM) says which words may follow which.
-Popcounts are summed over shards.
+Popcounts are summed over shards. At work, a bitmap is a set of positions up to 4,096 of them, and bits beyond. Frequent words and neighbours are sent to every task
+while they are at most a million, and joined to the shards otherwise.
 
 A shard goes on where the last one of its task ended: it begins with that one's last four positions, which count only as the beginnings of phrases.
 
@@ -16,7 +17,7 @@ with any share of the rows is many shards; rows of a word's or phrase's counts a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pellucid.llm.common import Scratch
 
 #: Positions of a shard and those at which a list becomes a row of bits; words of a phrase at most.
 PLACES, DENSE, LONGEST = 1 << 16, 4096, 5
+#: Neighbours that are merged within a task.
+TOGETHER = 1 << 21
 #: Occurrences of a candidate at least; percentage of its occurrences that a longer one needs to replace it; rows of a language's result.
 LEAST, SHARE, TOP = 100, 100, 2000
 #: Bytes of text that are cut into words at once; words that wait for their languages' shards to fill.
@@ -63,42 +66,64 @@ def bitmap(places: np.ndarray) -> bytes:
     return np.packbits(np.bincount(places, minlength=PLACES).astype(bool), bitorder="little").tobytes()
 
 
-def opened(data: memoryview, card: int) -> np.ndarray:
-    """A bitmap as kept in memory: positions (uint16), or 1,024 words of bits (uint64)."""
-    return np.frombuffer(data, "<u2" if card <= DENSE else "<u8")
+def size_of(cards: np.ndarray) -> np.ndarray:
+    """Bytes of bitmaps of so many positions."""
+    return np.where(cards <= DENSE, 2 * cards, PLACES // 8)
 
 
-def size_of(card: int) -> int:
-    return 2 * card if card <= DENSE else PLACES // 8
+def places(data: memoryview, cards: np.ndarray) -> np.ndarray:
+    """The positions of all bitmaps, one after the other."""
+    if (cards <= DENSE).all():
+        return np.frombuffer(data, "<u2").astype(np.int64)
+    ends = np.cumsum(size_of(cards))
+    one = lambda i: data[ends[i] - size_of(cards[i]) : ends[i]]
+    return np.concatenate([np.frombuffer(one(i), "<u2").astype(np.int64) if c <= DENSE else np.flatnonzero(np.unpackbits(np.frombuffer(one(i), np.uint8), bitorder="little")) for i, c in enumerate(cards)])
 
 
-def places(m: np.ndarray) -> np.ndarray:
-    return m.astype(np.int64) if m.dtype == np.uint16 else np.flatnonzero(np.unpackbits(m.view(np.uint8), bitorder="little"))
+def bits_of(at: np.ndarray) -> np.ndarray:
+    """Positions as 1,024 words of 64 bits."""
+    return np.packbits(np.bincount(at, minlength=PLACES).astype(bool), bitorder="little").view(np.uint64)
 
 
-def shifted_and(ends: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Those places of a word that follow an end."""
-    if ends.dtype == np.uint64:
-        moved = ends << np.uint64(1)
-        moved[1:] |= ends[:-1] >> np.uint64(63)
-        if word.dtype == np.uint64:
-            both = moved & word
-            return both if np.bitwise_count(both).sum() > DENSE else places(both).astype(np.uint16)
-        return word[(moved[word >> 6] >> (word & np.uint16(63)).astype(np.uint64)) & np.uint64(1) == 1]
-    moved = ends[: len(ends) - 1 if len(ends) and ends[-1] == PLACES - 1 else len(ends)] + np.uint16(1)
-    if word.dtype == np.uint64:
-        return moved[(word[moved >> 6] >> (moved & np.uint16(63)).astype(np.uint64)) & np.uint64(1) == 1]
-    if not len(moved) or not len(word):
-        return moved[:0]
-    at = np.minimum(np.searchsorted(word, moved), len(word) - 1)
-    return moved[word[at] == moved]
+class Bitmap:
+    """A word's bitmap as a shard works on it: its positions as a list and a set, and as bits once a phrase with many ends meets it."""
 
+    def __init__(self, at: np.ndarray):
+        self.at, self.sparse, self._bits = at, set(at.tolist()), None
 
-def popcount(m: np.ndarray, first: int) -> int:
+    @property
+    def bits(self) -> np.ndarray:
+        if self._bits is None:
+            self._bits = bits_of(self.at)
+        return self._bits
+
+
+def shifted(ends: set | np.ndarray) -> set | np.ndarray:
+    """The places after a phrase's ends; few ends are a set, many are bits."""
+    if isinstance(ends, set):
+        return {e + 1 for e in ends}
+    moved = ends << np.uint64(1)
+    moved[1:] |= ends[:-1] >> np.uint64(63)
+    return moved
+
+
+def both(moved: set | np.ndarray, word: Bitmap) -> set | np.ndarray:
+    """Those of the places that a word has."""
+    if isinstance(moved, set):
+        return moved & word.sparse
+    if len(word.at) <= DENSE:
+        return set(word.at[(moved[word.at >> 6] >> (word.at & 63).astype(np.uint64)) & np.uint64(1) == 1].tolist())
+    common = moved & word.bits
+    if np.bitwise_count(common).sum() > DENSE:
+        return common
+    return set(np.flatnonzero(np.unpackbits(common.view(np.uint8), bitorder="little")).tolist())
+
+
+def popcount(m: set | np.ndarray, first: int) -> int:
     """Positions from ``first`` on."""
-    if m.dtype == np.uint16:
-        return len(m) - int(np.searchsorted(m, first))
-    return int(np.bitwise_count(m).sum()) - int(m[0] & np.uint64((1 << first) - 1)).bit_count()
+    if isinstance(m, set):
+        return len(m) - sum(e in m for e in range(first)) if first else len(m)
+    return int(np.bitwise_count(m).sum()) - (int(m[0]) & ((1 << first) - 1)).bit_count()
 
 
 class _Layout:
@@ -166,117 +191,203 @@ def shards(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, _SHARD)
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """A stored table, sent to every task if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
-
-
-def _neighbours(words: int, cards: list[int], maps: bytes, first: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A shard's bitmaps, the word at each place (-1: none), and its distinct neighbours with their counts."""
-    view, at, open_, owner = memoryview(maps), 0, [], np.full(PLACES + 1, -1, np.int64)
-    for i in range(words):
-        m = opened(view[at : at + size_of(cards[i])], cards[i])
-        at += size_of(cards[i])
-        owner[places(m)] = i
-        open_.append(m)
-    a, b = owner[:-2], owner[1:-1]
-    met = (a >= 0) & (b >= 0)
-    met[: max(0, first - 1)] = False  # the second of them is in the overlap
-    codes, n = np.unique(a[met] * words + b[met], return_counts=True)
-    return open_, owner, codes // max(1, words), codes % max(1, words), n
+def _few(df: DataFrame) -> bool:
+    """Whether a stored table may be sent to every task."""
+    return df.limit(BROADCAST + 1).count() <= BROADCAST
 
 
-def _map_rows(df: DataFrame, make, ddl: str) -> DataFrame:
-    """make(row) gives arrays by column for each row."""
+def _map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """make gets the rows of a task as scalars by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {name: b.column(k)[i] for k, name in enumerate(b.schema.names)}
-                yield from make(row)
+        return make({name: b.column(k)[i] for k, name in enumerate(b.schema.names)} for b in batches for i in range(b.num_rows))
 
     return df.mapInArrow(run, ddl)
 
 
-def _keep_frequent(row: dict) -> Iterator[pa.RecordBatch]:
-    known = dict(zip((x for x in row["known"].values.field("at").to_pylist()), row["known"].values.field("word_id").to_pylist())) if row["known"].values is not None else {}
-    cards, words, maps = row["cards"].values.to_pylist(), row["words"].values.to_pylist(), row["maps"].as_buffer()
-    keep, parts, at = [], [], 0
-    for i, c in enumerate(cards):
-        if i in known:
-            keep.append(i)
-            parts.append(maps[at : at + size_of(c)].to_pybytes())
-        at += size_of(c)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([row["lang"].as_py()]), pa.array([row["shard"].as_py()]), pa.array([row["first"].as_py()], pa.int32()), pa.array([[words[i] for i in keep]], pa.list_(pa.string())), pa.array([[known[i] for i in keep]], pa.list_(pa.int64())), pa.array([[cards[i] for i in keep]], pa.list_(pa.int32())), pa.array([b"".join(parts)], pa.binary())],
-        ["lang", "shard", "first", "words", "ids", "cards", "maps"],
+_KEPT = "lang string, shard long, first int, words array<string>, ids array<long>, cards array<int>, maps binary"
+
+
+def _cut_down(row: dict, ids: np.ndarray) -> pa.RecordBatch:
+    """A shard with those words only that have an id (not -1)."""
+    cards = row["cards"].values.to_numpy()
+    keep = np.flatnonzero(ids >= 0)
+    data = np.frombuffer(row["maps"].as_buffer(), np.uint8)[np.repeat(ids >= 0, size_of(cards))]
+    one = lambda a, t: pa.ListArray.from_arrays(pa.array([0, len(keep)], pa.int32()), a.cast(t))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[c].as_py()], t) for c, t in (("lang", pa.string()), ("shard", pa.int64()), ("first", pa.int32()))]
+        + [one(row["words"].values.take(pa.array(keep)), pa.string()), one(pa.array(ids[keep]), pa.int64()), one(pa.array(cards[keep]), pa.int32()), pa.array([data.tobytes()], pa.binary())],
+        [f.split()[0] for f in _KEPT.split(", ")],
     )
 
 
-def _pairs(row: dict) -> Iterator[pa.RecordBatch]:
-    ids = row["ids"].values.to_numpy()
+def _with_known(laid: DataFrame, known: DataFrame) -> DataFrame:
+    """Shards with their frequent words only, and those words' ids."""
+    if _few(known):
+        table = known.toPandas()
+        given = laid.sparkSession.sparkContext.broadcast({lang: dict(zip(g["word"], g["word_id"])) for lang, g in table.groupby("lang")})
+
+        def look_up(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+            for r in rows:
+                ids = given.value.get(r["lang"].as_py(), {})
+                yield _cut_down(r, np.array([ids.get(w, -1) for w in r["words"].values.to_numpy(zero_copy_only=False).tolist()], np.int64))
+
+        return _map_rows(laid, look_up, _KEPT)
+
+    def placed(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            ids = np.full(len(r["words"]), -1, np.int64)
+            ids[r["known"].values.field("at").to_numpy()] = r["known"].values.field("word_id").to_numpy()
+            yield _cut_down(r, ids)
+
+    local = laid.select("lang", "shard", F.posexplode("words").alias("at", "word")).join(known.select("lang", "word", "word_id"), ["lang", "word"])
+    lists = local.groupBy("shard").agg(F.collect_list(F.struct("at", "word_id")).alias("known"))  # of one shard's words
+    return _map_rows(laid.join(lists, "shard").select("lang", "shard", "first", "words", "cards", "maps", "known"), placed, _KEPT)
+
+
+def _laid_out(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's ids and cards, and the word at each place (-1: none)."""
+    ids, cards = row["ids"].values.to_numpy(), row["cards"].values.to_numpy()
+    owner = np.full(PLACES + 1, -1, np.int64)
     if len(ids):
-        _, _, a, b, n = _neighbours(len(ids), row["cards"].values.to_pylist(), row["maps"].as_py(), row["first"].as_py())
+        owner[places(memoryview(row["maps"].as_buffer()), cards)] = np.repeat(np.arange(len(ids)), cards)
+    return ids, cards, owner
+
+
+def _neighbours(owner: np.ndarray, words: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct neighbours with their counts, without those whose second word is in the overlap."""
+    a, b = owner[:-2], owner[1:-1]
+    met = (a >= 0) & (b >= 0)
+    met[: max(0, first - 1)] = False
+    codes, n = np.unique(a[met] * words + b[met], return_counts=True)
+    return codes // max(1, words), codes % max(1, words), n
+
+
+def _pairs(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    for row in rows:
+        ids, _, owner = _laid_out(row)
+        a, b, n = _neighbours(owner, len(ids), row["first"].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["shard"].as_py())), pa.array(ids[a]), pa.array(ids[b]), pa.array(n)], ["shard", "a", "b", "n"])
 
 
-def _phrases(row: dict) -> Iterator[pa.RecordBatch]:
-    """Counts of all phrases of a shard whose neighbours are frequent."""
-    ids, words, first = row["ids"].values.to_pylist(), row["words"].values.to_pylist(), row["first"].as_py()
-    place = {w: i for i, w in enumerate(ids)}
-    after: dict[int, set[int]] = {}
-    for p in row["pairs"].as_py():
-        after.setdefault(place[p["a"]], set()).add(place[p["b"]])
-    maps, owner, *_ = _neighbours(len(ids), row["cards"].values.to_pylist(), row["maps"].as_py(), first)
+def _merged_pairs(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Neighbours' counts over several shards of a task; ids fit 31 bits."""
+    codes: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        code, n = np.concatenate(codes), np.concatenate(counts)
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        code, n = code[starts], np.add.reduceat(n, starts) if len(code) else n
+        codes.clear()
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(code >> 32), pa.array(code & 0xFFFFFFFF), pa.array(n)], ["a", "b", "n"])
+
+    for row in rows:
+        ids, _, owner = _laid_out(row)
+        a, b, n = _neighbours(owner, len(ids), row["first"].as_py())
+        codes.append(ids[a] << 32 | ids[b])
+        counts.append(n)
+        if sum(map(len, codes)) > TOGETHER:
+            yield flush()
+    if codes:
+        yield flush()
+
+
+def _grown(row: dict, after: dict[int, set[int]], ids: np.ndarray, cards: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+    """Counts of all phrases of a shard whose neighbours are frequent; after: the words that may follow a word."""
+    words, first = row["words"].values.to_numpy(zero_copy_only=False).tolist(), row["first"].as_py()
+    needed = set(after).union(*after.values()) if after else set()
+    ends, at = np.cumsum(cards), places(memoryview(row["maps"].as_buffer()), cards) if len(ids) else None
+    maps = {w: Bitmap(at[ends[w] - cards[w] : ends[w]]) for w in needed}
+    stands = owner.tolist()
     names: list[str] = []
     sizes: list[int] = []
     counts: list[int] = []
 
-    def grow(phrase: list[int], ends: np.ndarray) -> None:
-        may = after.get(phrase[-1])
+    def grow(name: str, size: int, last: int, ends: set | np.ndarray) -> None:
+        may = after.get(last)
         if not may:
             return
-        if ends.dtype == np.uint16:  # of the words that may follow, those that stand at one of the next places
-            may = may.intersection(owner[ends.astype(np.int64) + 1].tolist())
+        moved = shifted(ends)
+        if isinstance(moved, set):  # of the words that may follow, those that stand at one of the next places
+            may = may & {stands[e] for e in moved}
         for w in may:
-            longer = shifted_and(ends, maps[w])
+            longer = both(moved, maps[w])
             if len(longer):
+                phrase = f"{name} {words[w]}"
                 if n := popcount(longer, first):
-                    names.append(" ".join([words[x] for x in phrase] + [words[w]]))
-                    sizes.append(len(phrase) + 1)
+                    names.append(phrase)
+                    sizes.append(size + 1)
                     counts.append(n)
-                if len(phrase) + 1 < LONGEST:
-                    grow([*phrase, w], longer)
+                if size + 1 < LONGEST:
+                    grow(phrase, size + 1, w, longer)
 
     for w in after:
-        grow([w], maps[w])
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * len(names)), pa.array(names), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "size", "n"])
+        grow(words[w], 1, w, maps[w].sparse if len(maps[w].at) <= DENSE else maps[w].bits)
+    return pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "size", "n"])
+
+
+def _phrases(kept: DataFrame, near: DataFrame | None, mine: DataFrame | None) -> DataFrame:
+    """Local counts of phrases; the frequent neighbours come as one table for all tasks, or as a list for each shard."""
+    ddl, columns = "lang string, phrase string, size int, n long", ["lang", "shard", "first", "words", "ids", "cards", "maps"]
+    whole = near is not None
+    if whole:
+        table = near.toPandas()
+        given = kept.sparkSession.sparkContext.broadcast(np.sort(table["a"].to_numpy(np.int64) << 32 | table["b"].to_numpy(np.int64)))
+
+    def make(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            ids, cards, owner = _laid_out(row)
+            if whole:
+                a, b, _ = _neighbours(owner, len(ids), 0)
+                code, all_ = ids[a] << 32 | ids[b], given.value
+                there = all_[np.minimum(np.searchsorted(all_, code), len(all_) - 1)] == code if len(all_) else np.zeros(len(code), bool)
+                a, b = a[there], b[there]
+            else:
+                order, pairs = np.argsort(ids), row["pairs"].values
+                a, b = (order[np.searchsorted(ids[order], pairs.field(c).to_numpy())] for c in ("a", "b"))
+            after: dict[int, set[int]] = {}
+            for x, y in zip(a.tolist(), b.tolist()):
+                after.setdefault(x, set()).add(y)
+            yield _grown(row, after, ids, cards, owner)
+
+    return _map_rows(kept.select(*columns) if whole else kept.join(mine, "shard").select(*columns, "pairs"), make, ddl)
 
 
 def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of 1 to LONGEST words with f >= least; (lang, total) words of each language."""
     laid = scratch.save(shards(docs))
     single = laid.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
-    # every word takes part in its language's total; ids are stored, so they stay
     counted = scratch.save(single)
     totals = scratch.save(counted.groupBy("lang").agg(F.sum("f").alias("total")))
-    known = scratch.save(counted.filter(f"f >= {least}").withColumn("word_id", F.monotonically_increasing_id()))
+    known = scratch.save(_numbered(counted.filter(f"f >= {least}")))
     scratch.drop(counted)
-    local = laid.select("lang", "shard", F.posexplode("words").alias("at", "word")).join(_checked(known.select("lang", "word", "word_id")), ["lang", "word"])
-    lists = local.groupBy("shard").agg(F.collect_list(F.struct("at", "word_id")).alias("known"))  # of one shard's words
-    kept = scratch.save(_map_rows(laid.join(lists, "shard").select("lang", "shard", "first", "words", "cards", "maps", "known"), _keep_frequent, "lang string, shard long, first int, words array<string>, ids array<long>, cards array<int>, maps binary"))
+    kept = scratch.save(_with_known(laid, known))
     scratch.drop(laid)
-    pairs = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), _pairs, "shard long, a long, b long, n long")
+    small = _few(known)
+    pairs = kept.select("shard", "first", "ids", "cards", "maps")
+    pairs = _map_rows(pairs, _merged_pairs, "a long, b long, n long") if small else _map_rows(pairs, _pairs, "shard long, a long, b long, n long")
     near = scratch.save(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(f"n >= {least}").select("a", "b"))
-    mine = pairs.select("shard", "a", "b").join(_checked(near), ["a", "b"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    grown = _map_rows(kept.join(mine, "shard").select("lang", "shard", "first", "words", "ids", "cards", "maps", "pairs"), _phrases, "lang string, phrase string, size int, n long")
+    if small and _few(near):
+        grown = _phrases(kept, near, None)
+    else:
+        local = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), _pairs, "shard long, a long, b long, n long")
+        grown = _phrases(kept, None, local.join(near, ["a", "b"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs")))
     longer = grown.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).filter(f"f >= {least}")
     out = scratch.save(known.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer))
     scratch.drop(kept)
     return out, totals
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """Adds word_id: unlike numbers, and small ones where there are few words; to be stored, so that they stay."""
+    few = words.limit(BROADCAST + 1).count() <= BROADCAST
+    return words.coalesce(1).withColumn("word_id", F.monotonically_increasing_id()) if few else words.withColumn("word_id", F.monotonically_increasing_id())
+
+
 def _joined(words: Column, start: Column | int, length: Column) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 

@@ -68,11 +68,13 @@ def test_bitmaps_meet_as_sets_do():
     for n in (0, 1, 50, 4096, 4097, 60_000):
         for m in (0, 1, 300, 4096, 5000, 65_536):
             a, b = (np.sort(r.choice(col.PLACES, k, replace=False)) for k in (n, m))
-            x, y = (col.opened(memoryview(col.bitmap(z)), len(z)) for z in (a, b))
-            got = col.shifted_and(x, y)
-            want = sorted(set((a + 1).tolist()) & set(b.tolist()))
-            assert col.places(got).tolist() == want
-            assert col.popcount(got, 4) == sum(w >= 4 for w in want)
+            data, cards = col.bitmap(a) + col.bitmap(b), np.array([n, m])
+            assert col.places(memoryview(data), cards).tolist() == [*a.tolist(), *b.tolist()] and len(data) == col.size_of(cards).sum()
+            for ends in (set(a.tolist()), col.bits_of(a)):
+                got = col.both(col.shifted(ends), col.Bitmap(b))
+                want = {x + 1 for x in a.tolist()} & set(b.tolist())
+                assert (got if isinstance(got, set) else set(np.flatnonzero(np.unpackbits(got.view(np.uint8), bitorder="little")).tolist())) == want
+                assert col.popcount(got, 4) == sum(w >= 4 for w in want)
 
 
 def pieces(t):
@@ -127,6 +129,9 @@ def test_collocations(spark, docs, scratch, places, monkeypatch):
         assert len(made) > 3 and total == Counter(w for p in pieces(rows[0][1] * 20) for w in p)
         return
     assert rows_of(col.collocations(docs(rows), scratch, least=20, top=40)) == want
+    for few in (0, 60):  # joins instead of tables for all tasks: for both, and for neighbours alone
+        monkeypatch.setattr(col, "BROADCAST", few)
+        assert rows_of(col.collocations(docs(rows), scratch, least=20, top=40)) == want
 
 
 def test_phrases_over_the_ends_of_shards(spark, docs, scratch):
