@@ -10,9 +10,23 @@ from pellucid.functions.paths import strip
 REDACTED = "<redacted image data>"
 
 
+def _spelled(word: str) -> str:
+    """A pattern of a word in a JSON string, whose characters may be escaped."""
+
+    def one(c: str) -> str:
+        code = "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in f"{ord(c):04x}")
+        return rf"(?:{c}|\\u{code}" + (r"|\\/)" if c == "/" else ")")
+
+    return "".join(map(one, word))
+
+
 def redact(json_text: Column) -> Column:
-    """JSON text with the image data of every "url" entry replaced."""
-    return F.regexp_replace(json_text, r'("url"\s*:\s*")data:image/[^"]*"', f'$1{REDACTED}"')
+    """JSON text in which every "url" entry with image data, at any depth, has a placeholder; all else stays as it is.
+
+    In JSON, a quote after a brace or comma begins a string, so what the pattern takes for a key is one. Keys and values may be written with escapes.
+    """
+    entry = r'([{,]\s*"' + _spelled("url") + r'"\s*:\s*")' + _spelled("data:image/") + r'[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    return F.regexp_replace(json_text, entry, f'$1{REDACTED}"')
 
 
 def truncate(s: Column, most: int = 4096) -> Column:

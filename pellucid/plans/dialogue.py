@@ -185,6 +185,26 @@ def redact(spark: SparkSession, sf: str) -> DataFrame:
     return _dumps(spark, sf).select("conv_id", "seq", text.redact(F.col("dump")).alias("dump"))
 
 
+#: A dump with entries in objects and arrays, beside keys and texts that only look like them: what comes before the key, between key and value, and after.
+_PIECES = ('{"role": "user", "content": [{"type": "text", "text": "a, \\"url\\""}, {"type": "image_url", "image_url": {"', '" : "', '", "detail": [1.50, null]}}, {"x\\"url":"data:image/a","urls":"data:image/b","said":"{\\"url\\":\\"data:image/c\\"}"}]}')
+_KEYS, _VALUES = ("url", "\\u0075r\\u006C", "URL"), ("data:image/png;base64,QUJD", "https://x.org/a.png", "\\u0064ata:image\\/gif;base64,\\\\QQ", 'data:image/\\"quoted\\"')
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_CHANGED = f"""CASE WHEN seq % 3 < 2 AND seq % 4 <> 1 THEN {_quoted(text.REDACTED)} ELSE [{", ".join(map(_quoted, _VALUES))}][seq % 4 + 1] END"""
+
+
+@query(f"WITH {MESSAGES} SELECT conv_id, seq, {_quoted(_PIECES[0])} || [{', '.join(map(_quoted, _KEYS))}][seq % 3 + 1] || {_quoted(_PIECES[1])} || {_CHANGED} || {_quoted(_PIECES[2])} AS dump FROM messages")
+def redact_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Dumps with entries at any depth, and keys and values with escapes; all else stays byte for byte."""
+    of = lambda words: F.get(F.array(*[F.lit(w) for w in words]), (F.col("seq") % len(words)).cast("int"))
+    dump = F.concat(F.lit(_PIECES[0]), of(_KEYS), F.lit(_PIECES[1]), of(_VALUES), F.lit(_PIECES[2]))
+    return messages(spark, sf).select("conv_id", "seq", text.redact(dump).alias("dump"))
+
+
 _DETAIL = f"WITH {MESSAGES} SELECT conv_id, count(*) AS n, '[' || string_agg({_SAFE}, ',' ORDER BY seq) || ']' AS detail FROM messages WHERE content <> '' GROUP BY 1"
 
 

@@ -192,12 +192,12 @@ def retry_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return reasoner.profiles(prompts, clumsy)
 
 
-@query("SELECT doc_id, 'image' AS first, CASE WHEN text IS NULL THEN 1 ELSE 2 END AS parts FROM documents")
+@query("SELECT doc_id, 0 AS i, 'image' AS kind, md5('data:image/png;base64,eA==') AS body FROM documents UNION ALL SELECT doc_id, 1, 'text', md5(text) FROM documents WHERE text IS NOT NULL")
 def human_message(spark: SparkSession, sf: str) -> DataFrame:
     """A message's parts: the image, then the text."""
     url = paths.data_url(F.encode(F.lit("x"), "UTF-8"), F.lit("png"))
     parts = F.filter(F.array(F.struct(F.lit("image").alias("kind"), url.alias("body")), F.struct(F.lit("text").alias("kind"), F.col("text").alias("body"))), lambda p: p["body"].isNotNull())
-    return table(spark, sf, "documents").select("doc_id", parts.alias("m")).select("doc_id", F.get("m", F.lit(0))["kind"].alias("first"), F.size("m").alias("parts"))
+    return table(spark, sf, "documents").select("doc_id", parts.alias("m")).select("doc_id", F.posexplode("m").alias("i", "p")).select("doc_id", "i", "p.kind", F.md5("p.body").alias("body"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS image_path, CASE WHEN doc_id % 3 <> 0 THEN CAST(length(CAST(doc_id AS VARCHAR)) % 2 AS INTEGER) END AS pred_label, CASE WHEN doc_id % 3 = 0 THEN 'RuntimeError: every third' END AS error, 1 AS tries FROM documents")
