@@ -255,4 +255,5 @@ KERNELS = {
     "fft": fft_features,
     "dct": dct_features,
     "wavelet": wavelet_features,
+    "laplacian": lambda g: laplacian_variance(g)[:, None],
 }

@@ -206,15 +206,17 @@ _LBP_GROUP = f"SELECT vec_id, 'lbp' AS kind, bin AS i, share AS value FROM ({ORA
 _GLCM_GROUP = f"SELECT vec_id, 'glcm' AS kind, CAST(12 * unnest(range(4)) + (d - 1) * 4 + a // 45 AS INTEGER) AS i, unnest([contrast, dissimilarity, homogeneity, energy]) AS value FROM ({ORACLE['img_glcm']})"
 _FFT_GROUP = _group("fft", ["mean", "std", "median", "low", "middle", "high", *(f"ring{i}" for i in range(16))])
 _DCT_GROUP = _group("dct", ["mean", "std", "median", "zeros", "dc", "low", "high", "low_share", "high_share"])
+_LAPLACIAN_GROUP = _group("laplacian", ["laplacian"])
 _EDGE_GROUP = _group("edge", ["density", *(f"d{i}" for i in range(8))])
 
 
-@query(f"SELECT vec_id, kind, i, value + 0.0 AS value FROM ({' UNION ALL '.join((_LBP_GROUP, _GLCM_GROUP, _EDGE_GROUP, _FFT_GROUP, _DCT_GROUP))})")
+@query(f"SELECT vec_id, kind, i, value + 0.0 AS value FROM ({' UNION ALL '.join((_LBP_GROUP, _GLCM_GROUP, _EDGE_GROUP, _FFT_GROUP, _DCT_GROUP, _LAPLACIAN_GROUP))})")
 def feature_bundle(spark: SparkSession, sf: str) -> DataFrame:
     """All feature groups in one pass, a row for each value, zeros included."""
-    p = planes(spark, sf).select("vec_id", images.bundle(F.col("g"), *_size()).alias("f"))
-    digits = lambda kind: lambda v, i: F.when(i < 6, F.round(v, 6)).otherwise(F.round(v, 3)) if kind == "fft" else F.round(v, 6)
-    groups = F.array(*[F.struct(F.lit(k).alias("kind"), F.transform(f"f.{k}", digits(k)).alias("values")) for k in ("lbp", "glcm", "edge", "fft", "dct")])
+    kinds = ("lbp", "glcm", "edge", "fft", "dct", "laplacian")
+    p = planes(spark, sf).select("vec_id", images.bundle(F.col("g"), *_size(), kinds).alias("f"))
+    digits = lambda kind: lambda v, i: F.when(i < 6, F.round(v, 6)).otherwise(F.round(v, 3)) if kind == "fft" else F.round(v + 1e-7, 4) if kind == "laplacian" else F.round(v, 6)
+    groups = F.array(*[F.struct(F.lit(k).alias("kind"), F.transform(f"f.{k}", digits(k)).alias("values")) for k in kinds])
     rows = p.select("vec_id", F.explode(groups).alias("g"))
     return rows.select("vec_id", "g.kind", F.posexplode("g.values").alias("i", "value")).withColumn("value", F.col("value") + 0.0)
 
