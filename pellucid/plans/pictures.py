@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pellucid.functions.kernels import DB4
-from pellucid.operators import images, resample
+from pellucid.operators import images, pixels, resample
 from pellucid.plans.registry import ORACLE, query
 from pellucid.plans.views import PIXELS, SIDE, planes, table
 
@@ -28,7 +28,8 @@ def gray_planes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PIXELS} SELECT vec_id, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS std, CAST(median(g) AS DOUBLE) AS median, CAST(sum(g) AS BIGINT) AS total, round(var_pop(g), 6) AS var FROM pixels GROUP BY 1")
 def array_stats(spark: SparkSession, sf: str) -> DataFrame:
-    p = planes(spark, sf).select("vec_id", F.explode("g").alias("g"))
+    """Statistics of the pixels that a table function yields."""
+    p = pixels.rows(planes(spark, sf).select("vec_id", F.col("g").alias("plane")), "plane", SIDE)
     return p.groupBy("vec_id").agg(F.round(F.avg("g"), 6).alias("mean"), F.round(F.stddev_pop("g"), 6).alias("std"), F.median("g").alias("median"), F.sum("g").alias("total"), F.round(F.var_pop("g"), 6).alias("var"))
 
 
@@ -84,19 +85,12 @@ def img_glcm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_GLCM} SELECT vec_id, d, a, least(i, j) AS lo, greatest(i, j) AS hi, count(*) AS n FROM one GROUP BY 1, 2, 3, 4, 5")
 def glcm_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of level pairs at every offset, by array access within a plane instead of a pixel join."""
-    q = planes(spark, sf).select("vec_id", F.transform("g", lambda g: F.floor(g / 255.0 * 63)).alias("q"))
-    rows = []
-    for d, a, dr, dc in _PAIRS:
-        at = [(y * SIDE + x, (y + dr) * SIDE + x + dc) for y in range(SIDE) for x in range(SIDE) if 0 <= y + dr < SIDE and 0 <= x + dc < SIDE]
-        places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in at])
-        rows.append(_pairs(places, d, a))
-    p = q.select("vec_id", F.explode(F.flatten(F.array(*rows))).alias("p"))
-    return p.groupBy("vec_id", "p.d", "p.a", F.least("p.i", "p.j").alias("lo"), F.greatest("p.i", "p.j").alias("hi")).agg(F.count("*").alias("n"))
-
-
-def _pairs(places: Column, d: int, a: int) -> Column:
-    return F.transform(places, lambda p: F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.get("q", p["i"]).alias("i"), F.get("q", p["j"]).alias("j")))
+    """Counts of level pairs at every offset, from pixels with twelve neighbours that a table function yields."""
+    q = planes(spark, sf).select("vec_id", F.transform("g", lambda g: F.floor(g / 255.0 * 63).cast("int")).alias("plane"))
+    px = pixels.rows(q, "plane", SIDE, [(r, c) for _, _, r, c in _PAIRS])
+    p = pixels.pairs(px, ["vec_id"], [F.struct(F.lit(d).alias("d"), F.lit(a).alias("a")) for d, a, _, _ in _PAIRS])
+    lo, hi = (f("g", "neighbour").cast("long") for f in (F.least, F.greatest))
+    return p.groupBy("vec_id", "name.d", "name.a", lo.alias("lo"), hi.alias("hi")).agg(F.count("*").alias("n"))
 
 
 _DFT = f"""{PIXELS}, f AS (SELECT u, v, y, x, cos(2 * pi() * (u * y + v * x) / 8) AS c, sin(2 * pi() * (u * y + v * x) / 8) AS s
