@@ -1,7 +1,7 @@
 """Token-id files: one independent zstandard frame per document and a trailing seek table.
 
 File layout (the public seekable zstandard format): document frames; a skippable frame with the
-document index (doc_id and first frame of each document, little-endian int64 pairs, itself
+document index (doc_id, or 0 without one, first frame, and whether there is a doc_id, of each document, as little-endian int64, itself
 zstandard-compressed); a skippable frame with the seek table, whose entries are compressed size,
 decompressed size and the low 32 bits of the frame's XXH64, and whose footer is the frame count, a
 descriptor byte and the magic number. A reader fetches the tail, then only the frames that it wants.
@@ -36,7 +36,8 @@ from pellucid.llm.encoding import chunks, encoder, little_endian
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Decompressed bytes of a frame at most; longer documents take several frames.
 FRAME_BYTES = 1 << 28
-NO_ID = -(1 << 63)
+#: Bytes of frames after which a task begins another file, and documents of a result batch.
+ROLL, ROWS = 1 << 30, 10_000
 
 
 class FrameWriter:
@@ -45,16 +46,18 @@ class FrameWriter:
     def __init__(self, sink, level: int = 3):
         self.sink, self.codec = sink, zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.entries, self.docs = bytearray(), []
-        self.frames = 0
+        self.frames = self.written = 0
 
-    def add(self, doc_id: int, data: bytes | memoryview) -> None:
-        self.docs.append((doc_id, self.frames))
+    def add(self, doc_id: int | None, data: bytes | memoryview) -> None:
+        """Documents come in ascending order of their ids, those without one first."""
+        self.docs.append((doc_id or 0, self.frames, doc_id is not None))
         for at in range(0, max(1, len(data)), FRAME_BYTES):
             part = data[at : at + FRAME_BYTES]
             packed = self.codec.compress(part)
             self.sink.write(packed)
             self.entries += struct.pack("<III", len(packed), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF)
             self.frames += 1
+            self.written += len(packed)
 
     def close(self) -> None:
         index = self.codec.compress(np.array(self.docs, "<i8").tobytes())
@@ -80,7 +83,7 @@ class FrameReader:
         if magic != INDEX_MAGIC:
             raise ValueError("no document index")
         self.codec = zstandard.ZstdDecompressor()
-        self.docs = np.frombuffer(self.codec.decompress(self._at(int(self.starts[-1]) + 8, length)), "<i8").reshape(-1, 2)
+        self.docs = np.frombuffer(self.codec.decompress(self._at(int(self.starts[-1]) + 8, length)), "<i8").reshape(-1, 3)
         self.first = np.append(self.docs[:, 1], frames)
 
     def _at(self, begin: int, n: int) -> bytes:
@@ -99,7 +102,8 @@ class FrameReader:
 
     def find(self, doc_id: int) -> list[bytes]:
         """Every document with that id."""
-        lo, hi = np.searchsorted(self.docs[:, 0], [doc_id, doc_id + 1])
+        lone = len(self.docs) - int(self.docs[:, 2].sum())  # they come first
+        lo, hi = (lone + np.searchsorted(self.docs[lone:, 0], doc_id, side) for side in ("left", "right"))
         return [self.document(k) for k in range(lo, hi)]
 
 
@@ -110,45 +114,58 @@ def open_folder(uri: str):
     return store, path
 
 
-def _write(uri: str, vocabulary: str, end: int):
+def _write(uri: str, vocabulary: str, end: int, roll: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, writer = TaskContext.get().partitionId(), encoder(vocabulary), None
         store, path = open_folder(uri)
-        name, tokens = f"{part:06d}-{uuid.uuid4().hex}.ids.zst", 0
+        name, piece, tokens = "", 0, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            writer.sink.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "piece": pa.array([piece], pa.int32()), "file": [name], "docs": pa.array([len(writer.docs)], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+
         for batch in sliced(batches, 2000):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            if ids and writer is None:
-                store.create_dir(path, recursive=True)
-                writer = FrameWriter(store.open_output_stream(f"{path}/{name}", compression=None))
             for lo, hi in chunks(texts):
+                if writer is not None and writer.written >= roll:
+                    yield closed()
+                    writer, piece = None, piece + 1
+                if writer is None:
+                    store.create_dir(path, recursive=True)
+                    name, tokens = f"{part:06d}-{piece:06d}-{uuid.uuid4().hex}.ids.zst", 0
+                    writer = FrameWriter(store.open_output_stream(f"{path}/{name}", compression=None))
                 flat, counts = enc.encode(texts[lo:hi], end)
                 data, at = memoryview(little_endian(flat)), 0
                 for doc_id, n in zip(ids[lo:hi], counts.tolist()):
-                    writer.add(NO_ID if doc_id is None else doc_id, data[4 * at : 4 * (at + n)])
+                    writer.add(doc_id, data[4 * at : 4 * (at + n)])
                     at += n
                 tokens += at
         if writer is not None:
-            writer.close()
-            writer.sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "docs": pa.array([len(writer.docs)], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
+            yield closed()
 
     return run
 
 
-def write_ids(docs: DataFrame, vocabulary: str, end: int, scratch: Scratch) -> tuple[str, DataFrame]:
+def write_ids(docs: DataFrame, vocabulary: str, end: int, scratch: Scratch, roll: int = ROLL) -> tuple[str, DataFrame]:
     """Writes the ids of (doc_id, text) rows, each followed by the end id, in ascending doc_id order.
 
-    Returns the files' folder and the manifest: part, file, docs, tokens, start (ids in the files before).
+    Returns the files' folder and the manifest: part, piece, file, docs, tokens, start (ids in the files before). A task begins another file
+    once one holds ``roll`` bytes.
     """
     uri = f"{scratch.base}/ids"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("salt", row_salt())
     rows = rows.repartitionByRange("doc_id", "h", "salt").sortWithinPartitions("doc_id", "h", "salt").select("doc_id", "text")
-    manifest = scratch.save(rows.mapInArrow(_write(uri, vocabulary, end), "part int, file string, docs long, tokens long"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = scratch.save(rows.mapInArrow(_write(uri, vocabulary, end, roll), "part int, piece int, file string, docs long, tokens long"))
+    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return uri, manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def _read(uri: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_folder(uri)
@@ -156,12 +173,15 @@ def _read(uri: str):
             for name, at in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
                 with store.open_input_file(f"{path}/{name}") as source:
                     reader, rows = FrameReader(source), []
-                    for k, (doc_id, _) in enumerate(reader.docs.tolist()):
+                    for k, (doc_id, _, known) in enumerate(reader.docs.tolist()):
                         data = reader.document(k)
-                        rows.append((None if doc_id == NO_ID else doc_id, at, len(data) // 4, zlib.crc32(data)))
+                        rows.append((doc_id if known else None, at, len(data) // 4, zlib.crc32(data)))
                         at += len(data) // 4
-                for lo in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[lo : lo + 10_000])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(rows) == ROWS:
+                            yield _batch(rows)
+                            rows = []
+                    if rows:
+                        yield _batch(rows)
 
     return run
 

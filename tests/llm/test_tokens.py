@@ -182,3 +182,22 @@ def test_more_sources_than_queues(docs, scratch):
     for b in range(40):
         plan.block(b)
     assert sum(a.nbytes + o.nbytes for a, o in plan.blocks.values()) <= packing.KEPT_BYTES
+
+
+def test_ids_at_the_ends_of_their_range_and_many_files(spark, docs, scratch):
+    """No id stands for none; files roll, and places go on over them."""
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(least, "the first"), (None, "no id"), (None, "no id either"), (0, "zero"), (most, "the last"), *[(i, f"document {i} " * 3) for i in range(1, 6000)]]
+    uri, manifest = binary.write_ids(docs(rows), vocabulary("word_bpe_49k.json"), 1, scratch, roll=1)
+    assert manifest.filter("piece > 0").count() > 0 or manifest.count() > 1
+    got = sorted(binary.read_ids(uri, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, least, *range(6000), most]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+    store, path = binary.open_folder(uri)
+    counts = dict.fromkeys((least, 0, most), 0)
+    for f in manifest.collect():
+        with store.open_input_file(f"{path}/{f.file}") as s:
+            reader = binary.FrameReader(s)
+            for i in counts:
+                counts[i] += len(reader.find(i))
+    assert set(counts.values()) == {1}
