@@ -17,20 +17,27 @@ with any share of the rows is many shards; rows of a word's or phrase's counts a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import Scratch
+from pellucid.llm.common import Scratch, free_shuffles
 
 #: Positions of a shard and those at which a list becomes a row of bits; words of a phrase at most.
 PLACES, DENSE, LONGEST = 1 << 16, 4096, 5
 #: Neighbours that are merged within a task.
 TOGETHER = 1 << 21
+#: Buckets of neighbours at least; beyond, one for fifty shards, which have a million neighbours or so.
+BUCKETS = 64
+#: Phrases whose counts a task holds before it sends them.
+PHRASES = 1_000_000
 #: Occurrences of a candidate at least; percentage of its occurrences that a longer one needs to replace it; rows of a language's result.
 LEAST, SHARE, TOP = 100, 100, 2000
 #: Bytes of text that are cut into words at once; words that wait for their languages' shards to fill.
@@ -270,42 +277,65 @@ def _pairs(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["shard"].as_py())), pa.array(ids[a]), pa.array(ids[b]), pa.array(n)], ["shard", "a", "b", "n"])
 
 
-def _merged_pairs(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    """Neighbours' counts over several shards of a task; ids fit 31 bits."""
-    codes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with the sums of their counts."""
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[starts], np.add.reduceat(n, starts) if len(code) else n
 
-    def flush() -> pa.RecordBatch:
-        code, n = np.concatenate(codes), np.concatenate(counts)
-        order = np.argsort(code, kind="stable")
-        code, n = code[order], n[order]
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-        code, n = code[starts], np.add.reduceat(n, starts) if len(code) else n
-        codes.clear()
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(code >> 32), pa.array(code & 0xFFFFFFFF), pa.array(n)], ["a", "b", "n"])
 
-    for row in rows:
-        ids, _, owner = _laid_out(row)
-        a, b, n = _neighbours(owner, len(ids), row["first"].as_py())
-        codes.append(ids[a] << 32 | ids[b])
-        counts.append(n)
-        if sum(map(len, codes)) > TOGETHER:
+def _frequent_pairs(kept: DataFrame, words: int, buckets: int, least: int) -> DataFrame:
+    """a, b of the frequent neighbours, for dense ids below ``words``.
+
+    Tasks sum their shards' neighbours and send them as compressed runs of sorted codes, one for each bucket, which take a third of
+    rows' bytes; a bucket's runs are merged.
+    """
+
+    def local(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        codes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            code, n = _summed(codes, counts)
+            codes.clear()
+            counts.clear()
+            of = code % buckets
+            order = np.argsort(of, kind="stable")
+            code, n, found = code[order], n[order], np.unique(of)
+            cuts = np.searchsorted(of[order], found[1:])
+            pack = zstandard.ZstdCompressor(level=3).compress
+            runs = [(pack(np.diff(c, prepend=0).astype("<u8").tobytes()), pack(k.astype("<u4").tobytes())) for c, k in zip(np.split(code, cuts), np.split(n, cuts))] if len(code) else []
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([c for c, _ in runs], pa.binary()), pa.array([k for _, k in runs], pa.binary())], ["bucket", "codes", "counts"])
+
+        for row in rows:
+            ids, _, owner = _laid_out(row)
+            a, b, n = _neighbours(owner, len(ids), row["first"].as_py())
+            codes.append(ids[a] * words + ids[b])
+            counts.append(n)
+            if sum(map(len, codes)) > TOGETHER:
+                yield flush()
+        if codes:
             yield flush()
-    if codes:
-        yield flush()
 
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
+        code, n = _summed([np.cumsum(np.frombuffer(unpack(c), "<u8").astype(np.int64)) for c in pdf["codes"]], [np.frombuffer(unpack(k), "<u4").astype(np.int64) for k in pdf["counts"]])
+        code = code[n >= least]
+        return pd.DataFrame({"a": code // words, "b": code % words})
 
-def _grown(row: dict, after: dict[int, set[int]], ids: np.ndarray, cards: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-    """Counts of all phrases of a shard whose neighbours are frequent; after: the words that may follow a word."""
+    runs = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), local, "bucket long, codes binary, counts binary")
+    return runs.groupBy("bucket").applyInPandas(merge, "a long, b long")
+
+
+def _grown(row: dict, after: dict[int, set[int]], ids: np.ndarray, cards: np.ndarray, owner: np.ndarray, total: dict[str, int]) -> None:
+    """Adds to total the counts of all phrases of a shard whose neighbours are frequent; after: the words that may follow a word."""
     words, first = row["words"].values.to_numpy(zero_copy_only=False).tolist(), row["first"].as_py()
     needed = set(after).union(*after.values()) if after else set()
     ends, at = np.cumsum(cards), places(memoryview(row["maps"].as_buffer()), cards) if len(ids) else None
     maps = {w: Bitmap(at[ends[w] - cards[w] : ends[w]]) for w in needed}
     stands = owner.tolist()
-    names: list[str] = []
-    sizes: list[int] = []
-    counts: list[int] = []
 
     def grow(name: str, size: int, last: int, ends: set | np.ndarray) -> None:
         may = after.get(last)
@@ -319,26 +349,34 @@ def _grown(row: dict, after: dict[int, set[int]], ids: np.ndarray, cards: np.nda
             if len(longer):
                 phrase = f"{name} {words[w]}"
                 if n := popcount(longer, first):
-                    names.append(phrase)
-                    sizes.append(size + 1)
-                    counts.append(n)
+                    total[phrase] = total.get(phrase, 0) + n
                 if size + 1 < LONGEST:
                     grow(phrase, size + 1, w, longer)
 
     for w in after:
         grow(words[w], 1, w, maps[w].sparse if len(maps[w].at) <= DENSE else maps[w].bits)
-    return pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "size", "n"])
 
 
-def _phrases(kept: DataFrame, near: DataFrame | None, mine: DataFrame | None) -> DataFrame:
-    """Local counts of phrases; the frequent neighbours come as one table for all tasks, or as a list for each shard."""
-    ddl, columns = "lang string, phrase string, size int, n long", ["lang", "shard", "first", "words", "ids", "cards", "maps"]
+def _phrases(kept: DataFrame, near: DataFrame | None, mine: DataFrame | None, buckets: int, least: int) -> DataFrame:
+    """lang, phrase, size, f of frequent phrases; the frequent neighbours come as one table for all tasks, or as a list for each shard.
+
+    Tasks sum popcounts over their shards and send them as compressed runs of sorted phrases, one for each bucket, as they send neighbours.
+    """
+    columns = ["lang", "shard", "first", "words", "ids", "cards", "maps"]
     whole = near is not None
     if whole:
         table = near.toPandas()
         given = kept.sparkSession.sparkContext.broadcast(np.sort(table["a"].to_numpy(np.int64) << 32 | table["b"].to_numpy(np.int64)))
 
+    def runs(lang: str, total: dict[str, int]) -> pa.RecordBatch:
+        pack, parts = zstandard.ZstdCompressor(level=3).compress, {}
+        for phrase in sorted(total):
+            parts.setdefault(zlib.crc32(phrase.encode()) % buckets, []).append(phrase)
+        made = [(pack("\n".join(p).encode()), pack(np.array([total[x] for x in p], "<u4").tobytes())) for p in parts.values()]
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(list(parts), pa.int64()), pa.array([c for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.binary())], ["lang", "bucket", "phrases", "counts"])
+
     def make(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, dict[str, int]] = {}
         for row in rows:
             ids, cards, owner = _laid_out(row)
             if whole:
@@ -352,9 +390,22 @@ def _phrases(kept: DataFrame, near: DataFrame | None, mine: DataFrame | None) ->
             after: dict[int, set[int]] = {}
             for x, y in zip(a.tolist(), b.tolist()):
                 after.setdefault(x, set()).add(y)
-            yield _grown(row, after, ids, cards, owner)
+            _grown(row, after, ids, cards, owner, totals.setdefault(row["lang"].as_py(), {}))
+            if sum(map(len, totals.values())) > PHRASES:
+                yield from (runs(*t) for t in totals.items())
+                totals = {}
+        yield from (runs(*t) for t in totals.items())
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        unpack, total = zstandard.ZstdDecompressor().decompress, {}
+        for names, n in zip(pdf["phrases"], pdf["counts"]):
+            for phrase, k in zip(unpack(names).decode().split("\n"), np.frombuffer(unpack(n), "<u4").tolist()):
+                total[phrase] = total.get(phrase, 0) + k
+        found = [(pdf["lang"].iloc[0], phrase, phrase.count(" ") + 1, k) for phrase, k in total.items() if k >= least]
+        return pd.DataFrame(found, columns=["lang", "phrase", "size", "f"])
 
-    return _map_rows(kept.select(*columns) if whole else kept.join(mine, "shard").select(*columns, "pairs"), make, ddl)
+    sent = _map_rows(kept.select(*columns) if whole else kept.join(mine, "shard").select(*columns, "pairs"), make, "lang string, bucket long, phrases binary, counts binary")
+    return sent.groupBy("lang", "bucket").applyInPandas(merge, "lang string, phrase string, size int, f long")
 
 
 def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -365,18 +416,21 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[Dat
     totals = scratch.save(counted.groupBy("lang").agg(F.sum("f").alias("total")))
     known = scratch.save(_numbered(counted.filter(f"f >= {least}")))
     scratch.drop(counted)
+    free_shuffles(laid.sparkSession)
     kept = scratch.save(_with_known(laid, known))
     scratch.drop(laid)
-    small = _few(known)
-    pairs = kept.select("shard", "first", "ids", "cards", "maps")
-    pairs = _map_rows(pairs, _merged_pairs, "a long, b long, n long") if small else _map_rows(pairs, _pairs, "shard long, a long, b long, n long")
-    near = scratch.save(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(f"n >= {least}").select("a", "b"))
+    small, buckets = _few(known), max(BUCKETS, kept.count() // 50)
+    if small:
+        counts = _frequent_pairs(kept, max(1, known.count()), buckets, least)
+    else:
+        counts = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), _pairs, "shard long, a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(f"n >= {least}").select("a", "b")
+    near = scratch.save(counts)
+    free_shuffles(laid.sparkSession)
     if small and _few(near):
-        grown = _phrases(kept, near, None)
+        longer = _phrases(kept, near, None, buckets, least)
     else:
         local = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), _pairs, "shard long, a long, b long, n long")
-        grown = _phrases(kept, None, local.join(near, ["a", "b"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs")))
-    longer = grown.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).filter(f"f >= {least}")
+        longer = _phrases(kept, None, local.join(near, ["a", "b"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), buckets, least)
     out = scratch.save(known.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer))
     scratch.drop(kept)
     return out, totals
