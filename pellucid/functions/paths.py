@@ -70,7 +70,8 @@ def base_url(url: Column, fallback: str = "https://api.openai.com/v1") -> Column
 
 
 def data_url(content: Column, fmt: Column) -> Column:
-    return F.concat(F.lit("data:image/"), F.lower(fmt), F.lit(";base64,"), F.base64(content))
+    """Of any length on one line: Spark's base64 has a line break after every 76 characters."""
+    return F.concat(F.lit("data:image/"), F.lower(fmt), F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def decode_base64(s: Column) -> Column:
