@@ -54,3 +54,13 @@ def test_centre_crop(rows, planes):
     got = whole(resample.centre_crop(rows, 16, 12))
     for i, g in planes.items():
         near(got[i], k.centre_crop(g, 16, 12))
+
+
+def test_halves_after_six_decimals(spark):
+    """A sample of 137.4999997 is a half after six decimals: the kernel rounds it as the join does."""
+    g = np.array([
+        142, 117, 140, 129, 138, 144, 126, 140, 114, 137, 123, 113, 121, 137, 130, 95, 158, 124, 90, 142, 128, 114, 122, 113, 148, 120, 129, 113, 136, 156, 109, 131,
+        141, 139, 114, 126, 140, 138, 111, 152, 129, 120, 132, 148, 110, 128, 111, 103, 135, 130, 107, 131, 147, 148, 127, 127, 158, 140, 155, 120, 169, 122, 129, 139,
+    ], np.uint8).reshape(8, 8)
+    rows = spark.createDataFrame([(0, 8, 8, y, g[y].tolist()) for y in range(8)], "image_id long, height int, width int, y int, g array<int>")
+    assert (whole(resample.centre_crop(rows, 6, 5))[0] == k.centre_crop(g, 6, 5)).all() and k.resize(g, 6, 6)[0, 4] == 138
