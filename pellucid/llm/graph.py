@@ -3,7 +3,7 @@
 Each round maps every node to its least smaller neighbour, jumps twice along that forest, relabels the
 edges and drops loops and repeats; the edges that are left shrink geometrically. Rounds end when no edge is left.
 All state is in shared tables. Hubs are combined before shuffles, and joins are on single nodes, so that Spark
-can split a hub's edges.
+can split a hub's edges. All tables grow with the graph, and take far less room stored than as a broadcast: none is broadcast.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         up = scratch.save(edges.groupBy("a").agg(F.min("b").alias("p")))
         for _ in range(2):
             again = up.select(F.col("a").alias("a2"), F.col("p").alias("p2"))
-            up = scratch.save(up.join(again, up["p"] == again["a2"], "left").select("a", F.coalesce("p2", "p").alias("p")))
+            up = scratch.save(up.join(again.hint("merge"), up["p"] == again["a2"], "left").select("a", F.coalesce("p2", "p").alias("p")))
         pa, pb = up.select(F.col("a").alias("na"), F.col("p").alias("ra")), up.select(F.col("a").alias("nb"), F.col("p").alias("rb"))
-        moved = edges.join(pa, edges["a"] == pa["na"]).join(pb, edges["b"] == pb["nb"], "left")
+        moved = edges.join(pa.hint("merge"), edges["a"] == pa["na"]).join(pb.hint("merge"), edges["b"] == pb["nb"], "left")
         edges = scratch.save(_tidy(moved.select(F.col("ra").alias("a"), F.coalesce("rb", "b").alias("b"))))
-        nodes = scratch.save(nodes.join(pa, nodes["root"] == pa["na"], "left").select("node", F.coalesce("ra", "root").alias("root")))
+        nodes = scratch.save(nodes.join(pa.hint("merge"), nodes["root"] == pa["na"], "left").select("node", F.coalesce("ra", "root").alias("root")))
     return nodes

@@ -10,7 +10,8 @@ Equal fingerprints are one node. Large groups of near copies never form all thei
 row is only compared with one centre of each block, components are contracted, and blocks within one
 component are done. Only rows of different components that still share a block are compared pairwise, so
 that no link is lost. A block with more than CROWD rows is first split, as often as LEVELS, by the bits that needn't agree, in
-``bits + 1`` groups of which rows that are linked agree on one at least.
+``bits + 1`` groups of which rows that are linked agree on one at least. Tables of rows, fingerprints and keys grow with the input and are joined by shuffle: stored, they seem small
+enough to broadcast long after the driver's memory can't hold them.
 
 Nulls, ties, repeats: a null text has no word; texts without words have fingerprint zero and are linked like
 any others. Documents without id keep their row; a component's id is its least id, null if none has one.
@@ -125,7 +126,7 @@ def _split(rows: DataFrame, bits: int, blocks: int, level: int) -> DataFrame:
         masks.append([_signed(sum(1 << b for i, b in enumerate(rest) if group(i) == g)) for g in range(bits + 1)])
     of = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in masks]), F.col("choice") + 1)
     finer = F.transform(of, lambda m: F.xxhash64("key", F.lit(level), m, F.col("fp").bitwiseAND(m)))
-    both = rows.join(size, rows["key"] == size["crowded"], "left")
+    both = rows.join(size.hint("merge"), rows["key"] == size["crowded"], "left")
     return both.withColumn("key", F.explode(F.when(F.col("crowded").isNull(), F.array("key")).otherwise(finer))).drop("crowded")
 
 
@@ -139,14 +140,14 @@ def clusters(nodes: DataFrame, scratch: Scratch, bits: int = BITS, blocks: int =
         if found is None:
             return nodes.select("fp", F.col("fp").alias("lab"))
         old = found.select(F.col("fp").alias("f"), F.col("lab").alias("l"))
-        return nodes.join(old, nodes["fp"] == old["f"], "left").select("fp", F.coalesce("l", "fp").alias("lab"))
+        return nodes.join(old.hint("merge"), nodes["fp"] == old["f"], "left").select("fp", F.coalesce("l", "fp").alias("lab"))
 
     def merge(edges: DataFrame) -> DataFrame:
         roots = components(edges, scratch)
         if found is None:
             return scratch.save(roots.select(F.col("node").alias("fp"), F.col("root").alias("lab")))
         old = labelled()
-        return scratch.save(old.join(roots, old["lab"] == roots["node"], "left").select("fp", F.coalesce("root", "lab").alias("lab")))
+        return scratch.save(old.join(roots.hint("merge"), old["lab"] == roots["node"], "left").select("fp", F.coalesce("root", "lab").alias("lab")))
 
     for r in range(rounds + 1):
         keyed = _keyed(labelled(), bits, blocks)
@@ -154,14 +155,14 @@ def clusters(nodes: DataFrame, scratch: Scratch, bits: int = BITS, blocks: int =
         if r < rounds:
             row, other, apart = keyed, mixed.select("key", "c.fp", "c.lab", "c.d0", "c.d1"), F.col("row.lab") != F.col("other.lab")
         else:
-            rows = scratch.save(keyed.join(mixed.select("key"), "key", "left_semi"))
+            rows = scratch.save(keyed.join(mixed.select("key").hint("merge"), "key", "left_semi"))
             for level in range(LEVELS):
                 if rows.groupBy("key").count().filter(F.col("count") > CROWD).isEmpty():
                     break
                 rows = scratch.save(_split(rows, bits, blocks, level))
             row = other = rows
             apart = F.col("row.lab") < F.col("other.lab")
-        pair = row.alias("row").join(other.alias("other"), (F.col("row.key") == F.col("other.key")) & apart & _near("row", "other", bits))
+        pair = row.alias("row").join(other.alias("other").hint("merge"), (F.col("row.key") == F.col("other.key")) & apart & _near("row", "other", bits))
         found = merge(pair.select(F.col("row.lab").alias("a"), F.col("other.lab").alias("b")))
     return found
 
@@ -172,11 +173,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, bits: int = BITS, blocks:
     nodes = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = clusters(nodes.select("fp"), scratch, bits, blocks)
     of = labels.select(F.col("fp").alias("f"), "lab")
-    members = nodes.join(of, nodes["fp"] == of["f"], "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab"))
+    members = nodes.join(of.hint("merge"), nodes["fp"] == of["f"], "left").select("fp", "least", F.coalesce("lab", "fp").alias("lab"))
     ids = scratch.save(members.groupBy("lab").agg(F.min("least").alias("component_id")))
-    named = members.join(ids.withColumnRenamed("lab", "l"), members["lab"] == F.col("l"))
+    named = members.join(ids.withColumnRenamed("lab", "l").hint("merge"), members["lab"] == F.col("l"))
     named = scratch.save(named.select(F.col("fp").alias("f"), "component_id"))
-    return rows.join(named, rows["fp"] == named["f"]).select("doc_id", "th", "fp", "component_id")
+    return rows.join(named.hint("merge"), rows["fp"] == named["f"]).select("doc_id", "th", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -190,6 +191,6 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     hashed = groups.withColumn("group", F.coalesce("component_id", "fp")).withColumn("no_id", F.col("component_id").isNull())
     kept = scratch.save(hashed.groupBy("no_id", "group").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.th").alias("kept_th")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_th"))
-    rows = rows.join(kept, rows["row_id"].eqNullSafe(kept["kept_id"]) & (rows["row_th"] == kept["kept_th"]), "left_semi")
+    rows = rows.join(kept.hint("merge"), rows["row_id"].eqNullSafe(kept["kept_id"]) & (rows["row_th"] == kept["kept_th"]), "left_semi")
     one = Window.partitionBy("row_id", "row_th").orderBy("row_th")
     return rows.withColumn("n", F.row_number().over(one)).filter("n = 1").select("row.*")

@@ -327,3 +327,20 @@ def test_passages_composed_of_earlier_lines_are_found(docs, scratch):
     assert got in ({(11, 10, 0, 109), (12, 10, 7, 60)}, {(11, 10, 0, 109), (12, 11, 7, 60)})
     out = {r.doc_id: r.text.split() for r in chaining.remove_repeats(docs(rows), scratch).collect()}
     assert out[11] == words(35, 8301) and out[12] == words(7, 8302)
+
+
+def test_growing_tables_are_not_broadcast(spark, docs):
+    """Stored, tables of rows, fingerprints and edges look small enough long after the driver can't hold them."""
+    from pellucid.llm.common import Scratch
+
+    plans = []
+
+    class Watched(Scratch):
+        def save(self, df, *args):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, *args)
+
+    rows = docs([(i, t) for i, t in enumerate(near(1, 12) + [text(120, s) for s in range(5)])])
+    kept = simhash.keep_one(rows, Watched(spark))
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (kept, simhash.near_duplicates(rows, Watched(spark)))]
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
