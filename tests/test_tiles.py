@@ -96,3 +96,27 @@ def test_blocks_become_strips(spark):
 def test_no_strips(spark):
     none = spark.createDataFrame([], tiles.STRIP)
     assert tiles.lbp(none).count() == tiles.dct(none).count() == tiles.wavelet(none).count() == tiles.edges(none).count() == 0
+
+
+def test_few_strips_are_objects_at_once():
+    """A batch of many strips is worked on in slices: what a task holds doesn't grow with the batch."""
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, ddl):
+            return run
+
+    alive, most = [0], [0]
+
+    class Data(bytes):
+        def __new__(cls, x):
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+            return super().__new__(cls, x)
+
+        def __del__(self):
+            alive[0] -= 1
+
+    run = tiles._mapped(Frame(), lambda r: {"image_id": r["image_id"], "data": Data(8)}, "image_id long, data binary")
+    got = list(run(iter([pa.RecordBatch.from_pydict({"image_id": list(range(1000))})])))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(1000)) and most[0] <= 100
