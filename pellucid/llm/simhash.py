@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import Scratch, release, sliced
+from pellucid.llm.common import Scratch, release, sliced, trim
 from pellucid.llm.graph import components
 
 SEED, WORDS, BITS = 42, 4, 4
@@ -65,6 +65,7 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in sliced(batches):
         fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
+    trim()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -381,3 +381,20 @@ def test_damaged_streams_are_parsed():
         s = media.parse(data)
         assert all(0 <= o < len(data) for o in s.offsets) and media.feature(s) and s.duration >= 0
         media.unwrap(data, s)
+
+
+def test_tasks_leave_no_free_memory_in_their_processes(monkeypatch):
+    from pellucid.llm import chaining, common, simhash
+
+    calls = []
+    for module in (common, chaining, simhash):
+        monkeypatch.setattr(module, "trim", lambda name=module.__name__: calls.append(name))
+    common._state.clear()
+    common.release()  # with no state of its own, too
+    assert calls == ["pellucid.llm.common"]
+    common.process_state("key", dict)
+    assert calls == ["pellucid.llm.common"] * 3  # before making it, and what making it left
+    for run, module in ((simhash._fingerprints, simhash), (chaining._blocks, chaining), (chaining._aligned(50, 0.8), chaining), (chaining._without, chaining)):
+        calls.clear()
+        assert list(run(iter([]))) == [] and calls[-1] == module.__name__
+    common._state.clear()
