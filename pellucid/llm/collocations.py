@@ -6,7 +6,7 @@ grow as in SPAM: the bitmap of a phrase's ends, shifted by one place, and the ne
 AND, and its occurrences by popcount; the empty positions stop a phrase at its piece's end. Depth first, a shard keeps one bitmap for
 each word of the phrase at hand. A table of neighbours that are frequent over all shards (the co-occurrence map of CM-SPAM) says which words may follow which.
 Popcounts are summed over shards. At work, a bitmap is a set of positions up to 4,096 of them, and bits beyond. Frequent words and neighbours are sent to every task
-while they are at most a million, and joined to the shards otherwise.
+while they are at most a million words and eight million neighbours, and joined to the shards otherwise.
 
 A shard goes on where the last one of its task ended: it begins with that one's last four positions, which count only as the beginnings of phrases.
 
@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -42,8 +44,10 @@ PHRASES = 1_000_000
 LEAST, SHARE, TOP = 100, 100, 2000
 #: Bytes of text that are cut into words at once; words that wait for their languages' shards to fill.
 SLICE, WAITING = 1 << 18, 1 << 21
-#: Rows of frequent words or neighbours that are sent to every task at most, each some 40 bytes.
-BROADCAST = 1_000_000
+#: Frequent words that are sent to every task at most, each some 150 bytes there, and frequent neighbours, of 8 bytes each.
+BROADCAST, BROADCAST_PAIRS = 1_000_000, 8_000_000
+#: Shards of a stored file: a reader's columns, and a writer's, hold a file's rows at once, of some 400 KB each.
+ROWS = 64
 #: Ranges in which a language's candidates are ranked before they meet.
 RANGES = 64
 
@@ -198,9 +202,10 @@ def shards(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, _SHARD)
 
 
-def _few(df: DataFrame) -> bool:
+def _few(df: DataFrame, most: int | None = None) -> bool:
     """Whether a stored table may be sent to every task."""
-    return df.limit(BROADCAST + 1).count() <= BROADCAST
+    most = BROADCAST if most is None else most
+    return df.limit(most + 1).count() <= most
 
 
 def _map_rows(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
@@ -270,10 +275,11 @@ def _neighbours(owner: np.ndarray, words: int, first: int) -> tuple[np.ndarray,
     return codes // max(1, words), codes % max(1, words), n
 
 
-def _pairs(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: Iterator[dict], overlap: bool = False) -> Iterator[pa.RecordBatch]:
+    """overlap: with those in the overlap, with which phrases begin that end behind it."""
     for row in rows:
         ids, _, owner = _laid_out(row)
-        a, b, n = _neighbours(owner, len(ids), row["first"].as_py())
+        a, b, n = _neighbours(owner, len(ids), 0 if overlap else row["first"].as_py())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), row["shard"].as_py())), pa.array(ids[a]), pa.array(ids[b]), pa.array(n)], ["shard", "a", "b", "n"])
 
 
@@ -365,8 +371,8 @@ def _phrases(kept: DataFrame, near: DataFrame | None, mine: DataFrame | None, bu
     columns = ["lang", "shard", "first", "words", "ids", "cards", "maps"]
     whole = near is not None
     if whole:
-        table = near.toPandas()
-        given = kept.sparkSession.sparkContext.broadcast(np.sort(table["a"].to_numpy(np.int64) << 32 | table["b"].to_numpy(np.int64)))
+        codes = near.select((F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("code")).toPandas()["code"].to_numpy(np.int64)
+        given = kept.sparkSession.sparkContext.broadcast(np.sort(codes))
 
     def runs(lang: str, total: dict[str, int]) -> pa.RecordBatch:
         pack, parts = zstandard.ZstdCompressor(level=3).compress, {}
@@ -397,12 +403,14 @@ def _phrases(kept: DataFrame, near: DataFrame | None, mine: DataFrame | None, bu
         yield from (runs(*t) for t in totals.items())
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        unpack, total = zstandard.ZstdDecompressor().decompress, {}
-        for names, n in zip(pdf["phrases"], pdf["counts"]):
-            for phrase, k in zip(unpack(names).decode().split("\n"), np.frombuffer(unpack(n), "<u4").tolist()):
-                total[phrase] = total.get(phrase, 0) + k
-        found = [(pdf["lang"].iloc[0], phrase, phrase.count(" ") + 1, k) for phrase, k in total.items() if k >= least]
-        return pd.DataFrame(found, columns=["lang", "phrase", "size", "f"])
+        unpack = zstandard.ZstdDecompressor().decompress
+        names = [pc.split_pattern(pa.array([unpack(x)], pa.large_binary()).cast(pa.large_string()), "\n").flatten() for x in pdf["phrases"]]
+        counts = [pa.array(np.frombuffer(unpack(x), "<u4").astype(np.int64)) for x in pdf["counts"]]
+        total = pa.table([pa.chunked_array(names), pa.chunked_array(counts)], ["phrase", "n"]).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+        total = total.filter(pc.field("n_sum") >= least)
+        found = total["phrase"].to_pylist()
+        rows = zip([pdf["lang"].iloc[0]] * len(found), found, [p.count(" ") + 1 for p in found], total["n_sum"].to_pylist())
+        return pd.DataFrame(list(rows), columns=["lang", "phrase", "size", "f"], dtype=object)
 
     sent = _map_rows(kept.select(*columns) if whole else kept.join(mine, "shard").select(*columns, "pairs"), make, "lang string, bucket long, phrases binary, counts binary")
     return sent.groupBy("lang", "bucket").applyInPandas(merge, "lang string, phrase string, size int, f long")
@@ -410,14 +418,14 @@ def _phrases(kept: DataFrame, near: DataFrame | None, mine: DataFrame | None, bu
 
 def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of 1 to LONGEST words with f >= least; (lang, total) words of each language."""
-    laid = scratch.save(shards(docs))
+    laid = scratch.save(shards(docs), rows=ROWS)
     single = laid.select("lang", F.inline(F.arrays_zip("words", "counts"))).groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f"))
     counted = scratch.save(single)
     totals = scratch.save(counted.groupBy("lang").agg(F.sum("f").alias("total")))
     known = scratch.save(_numbered(counted.filter(f"f >= {least}")))
     scratch.drop(counted)
     free_shuffles(laid.sparkSession)
-    kept = scratch.save(_with_known(laid, known))
+    kept = scratch.save(_with_known(laid, known), rows=ROWS)
     scratch.drop(laid)
     small, buckets = _few(known), max(BUCKETS, kept.count() // 50)
     if small:
@@ -426,10 +434,10 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[Dat
         counts = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), _pairs, "shard long, a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(f"n >= {least}").select("a", "b")
     near = scratch.save(counts)
     free_shuffles(laid.sparkSession)
-    if small and _few(near):
+    if small and _few(near, BROADCAST_PAIRS):
         longer = _phrases(kept, near, None, buckets, least)
     else:
-        local = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), _pairs, "shard long, a long, b long, n long")
+        local = _map_rows(kept.select("shard", "first", "ids", "cards", "maps"), partial(_pairs, overlap=True), "shard long, a long, b long, n long")
         longer = _phrases(kept, None, local.join(near, ["a", "b"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), buckets, least)
     out = scratch.save(known.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer))
     scratch.drop(kept)

@@ -142,6 +142,29 @@ def test_phrases_over_the_ends_of_shards(spark, docs, scratch):
     assert rows_of(col.collocations(docs(rows), scratch, least=50)) == brute_collocations(rows, 50, 2000)
 
 
+@pytest.mark.parametrize("pairs", [8_000_000, 0])
+def test_neighbours_that_a_shard_has_in_its_overlap_alone(docs, scratch, pairs, monkeypatch):
+    """Sent to every task, or joined to the shards."""
+    monkeypatch.setattr(col, "BROADCAST_PAIRS", pairs, raising=False)
+    if not pairs:
+        monkeypatch.setattr(col, "BROADCAST", 7)  # there are six words
+    phrase = ["one", "two", "three", "four", "five"]
+    body = phrase * 4 + ["fill"] * (col.PLACES - 3 - 20) + phrase
+    f, _ = col.frequent(docs([(1, " ".join(body), "en")]).coalesce(1), scratch, 2)
+    got = {r.phrase: r.f for r in f.collect()}
+    assert [got.get(" ".join(phrase[:k])) for k in range(1, 6)] == [5] * 5
+
+
+def test_shards_are_stored_in_small_files(docs, scratch, monkeypatch):
+    monkeypatch.setattr(col, "ROWS", 2, raising=False)
+    made, save = [], scratch.save
+    monkeypatch.setattr(scratch, "save", lambda df, **k: made.append(out := save(df, **k)) or out)
+    monkeypatch.setattr(scratch, "drop", lambda df: None)
+    col.frequent(docs([(1, "alpha beta gamma " * (2 * col.PLACES), "en")]).coalesce(1), scratch, 2)
+    shards = [df for df in made if "maps" in df.columns]
+    assert len(shards) == 2 and all(df.count() == 7 and len(df.inputFiles()) == 4 for df in shards)
+
+
 def test_exact_scores(spark, scratch):
     """Products beyond 64 bits, over a table of counts instead of texts."""
     n, counts = 4 * 10**15 + 7, {"a": 3 * 10**15 + 1, "b": 10**15 + 3, "a b": 9 * 10**14 + 5}
