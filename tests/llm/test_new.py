@@ -147,7 +147,7 @@ def test_neighbours_that_a_shard_has_in_its_overlap_alone(docs, scratch, pairs,
     """Sent to every task, or joined to the shards."""
     monkeypatch.setattr(col, "BROADCAST_PAIRS", pairs, raising=False)
     if not pairs:
-        monkeypatch.setattr(col, "BROADCAST", 7)  # there are six words
+        monkeypatch.setattr(col, "BROADCAST", 0)
     phrase = ["one", "two", "three", "four", "five"]
     body = phrase * 4 + ["fill"] * (col.PLACES - 3 - 20) + phrase
     f, _ = col.frequent(docs([(1, " ".join(body), "en")]).coalesce(1), scratch, 2)
